@@ -1,7 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the distinct hashes (2^20 places) of its words, of the first five bytes
-of its words, of its neighbouring word pairs and of its pairs with one word between. FTRL-proximal
+A text's features are the distinct hashes (2^20 places) of its words, of the first four and
+five bytes of its words, of its neighbouring word pairs and of its pairs with one word between. FTRL-proximal
 keeps a learning rate per coordinate and an L1 penalty, so that few weights differ from zero;
 these few are broadcast. The model is fitted in one task on at most ``SAMPLE_TOXIC`` +
 ``SAMPLE_CLEAN`` labelled rows, chosen by a hash of the id; the sample's share of toxic rows is
@@ -40,17 +40,18 @@ def features(text: str | None) -> np.ndarray:
     raw = np.frombuffer(data + b"\0" * 5, np.uint8)
     starts, ends = word_spans(data)
     size = np.minimum(ends - starts, 5)
-    stem = np.zeros(len(h), np.uint64)
+    stem, stems = np.zeros(len(h), np.uint64), []
     for i in range(5):
         stem = stem * np.uint64(257) + np.where(i < size, raw[starts + i], 0).astype(np.uint64)
-    parts = [h, mix(stem + np.uint64(1 << 50)), rolling(h, 2) ^ np.uint64(0x5BD1E995), mix(h[:-2] * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]]
+        stems.append(mix(stem + np.uint64(i << 50)))
+    parts = [h, *stems[3:], rolling(h, 2) ^ np.uint64(0x5BD1E995), mix(h[:-2] * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]]
     return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Ftrl:
     """FTRL-proximal logistic regression on binary features; the last place is the bias."""
 
-    def __init__(self, alpha: float = 0.08, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5):
+    def __init__(self, alpha: float = 0.08, beta: float = 1.0, l1: float = 2.5, l2: float = 0.5):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
 
@@ -67,7 +68,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", epochs: int = 4) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", epochs: int = 3) -> dict:
     """Fit on rows of ``docs`` labelled in ``labels``; returns {"at": places, "w": weights}, bias last."""
     marks = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().where("y in (0, 1)").collect()}
