@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import language_id, toxicity
+from meterlake.llm import chat_format, language_id, packing, toxicity, url_filter
 from meterlake.llm.shared import id_bucket
 
 
@@ -22,6 +22,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select cast(-7 as bigint) conv_id, cast(turn as bigint) turn, role, '{said}' text from values (0, 'user'), (1, 'assistant') as t(turn, role)")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.windows(conversations))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes: a page is bad if the label under its id says toxic or of low quality."""
+    bad = F.when(F.expr("toxic = 1 or quality = 0"), 1).when(F.expr("toxic is not null or quality is not null"), 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, id_bucket(F.col("doc_id"), 3) != 1)
@@ -31,6 +49,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_chat_format": op4_chat_format,
+    "op5_pack": op5_pack,
+    "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
