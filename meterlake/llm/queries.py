@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat_format, decontaminate, fingerprint, language_id, near_dedup, packing, substring_dedup, toxicity, url_filter
+import corpus_pipeline
+from meterlake.llm import chat_format, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity, url_filter
 from meterlake.llm.shared import id_bucket
 
 
@@ -66,6 +67,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = id_bucket(F.col("doc_id"), 7) == 2
+    scored = lm_score.score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it contains; clean documents have none."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

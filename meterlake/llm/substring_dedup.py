@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,8 @@ ROUNDS = 3
 LEFT, RIGHT = 2**ROUNDS - 1, 2 * (2**ROUNDS - 1)
 #: A symbol in more documents than this is compared in salted parts.
 HOT, SALTS = 20_000, 64
+#: Ranges to remove are broadcast up to so many documents and numbers (about 10 MB), and joined by a shuffle beyond.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 2_000_000
 
 
 def symbols(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +77,10 @@ def filed_under(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-
-
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        each = [np.unique(filed_under(word_hashes((text or "").encode()))) for text in b["text"]]
-        size = [len(x) for x in each]
-        yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), size), "t": np.repeat(b["t"].to_numpy(), size), "m": np.concatenate(each) if each else np.zeros(0, np.int64)})
+        each = [np.unique(filed_under(word_hashes((text or "").encode())) & -2) for text in b["text"]]
+        yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), [len(x) for x in each]), "m": np.concatenate([*each, np.zeros(0, np.int64)])})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,32 +100,42 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.concat(parts)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows k, t, starts: for each document, the starts of its windows that a smaller id has too."""
-    keyed = docs.select(_key(id_col).alias("k"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted starts as ranges: first and last start of each run, flat."""
+    for b in batches:
+        out = []
+        for starts in b["starts"]:
+            s = np.unique(starts)
+            edge = np.flatnonzero(np.diff(s) > 1)
+            out.append(np.stack([s[np.append(0, edge + 1)], s[np.append(edge, len(s) - 1)]], axis=1).ravel())
+        yield b[["k", "t"]].assign(ranges=out)
+
+
+def repeats(keyed: DataFrame) -> DataFrame:
+    """From rows k, t, text the rows k, t, ranges: first and last starts of windows that a smaller k has too."""
     long_enough = keyed.where(F.length("text") >= 2 * WINDOW - 1)
-    anchors = materialize(long_enough.select("k", "t", "text").mapInPandas(_anchors, "k long, t long, m long").withColumn("m", F.shiftleft(F.shiftright("m", 1), 1)).distinct())
+    anchors = materialize(long_enough.select("k", "text").mapInPandas(_anchors, "k long, m long"))
     common = anchors.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("m", (F.col("n") > HOT).cast("long").alias("hot"))
-    shared = anchors.join(common, "m").groupBy("k", "t").agg(F.collect_list(F.col("m") + F.col("hot")).alias("shared"))
-    rows = keyed.select("k", "t", "text").join(shared, ["k", "t"]).mapInPandas(_windows, "w long, c long, salt long, k long, t long, s int")
-    part = Window.partitionBy("w", "c", "salt")
-    rows = rows.withColumn("lo", F.min("k").over(part))
-    settled = rows.where("lo < k")
-    # what is least in its salted part meets the other parts' least; the others are settled
-    over_parts = Window.partitionBy("w", "c")
-    rest = rows.where("salt > 0 and lo = k").withColumn("lo", F.min("k").over(over_parts)).where("lo < k")
-    return settled.unionByName(rest).groupBy("k", "t").agg(F.collect_set("s").alias("starts"))
+    shared = anchors.join(common, "m").groupBy("k").agg(F.collect_set(F.col("m") + F.col("hot")).alias("shared"))
+    rows = long_enough.join(shared, "k").select("k", "t", "text", "shared").mapInPandas(_windows, "w long, c long, salt long, k long, t long, s int")
+    rows = rows.withColumn("lo", F.min("k").over(Window.partitionBy("w", "c", "salt")))
+    # what is least in its salted part has still to meet the other parts' least; the others are settled
+    meet = F.col("lo") == F.col("k")
+    found = materialize(rows.where((F.col("lo") < F.col("k")) | (F.col("salt") > 0)).select("k", "t", "s", F.when(meet, F.col("w")).alias("w"), F.when(meet, F.col("c")).alias("c")))
+    rest = found.where("w is not null").withColumn("lo", F.min("k").over(Window.partitionBy("w", "c"))).where("lo < k")
+    hits = found.where("w is null").select("k", "t", "s").unionByName(rest.select("k", "t", "s"))
+    return materialize(hits.groupBy("k", "t").agg(F.collect_list("s").alias("starts")).mapInPandas(_ranges, "k long, t long, ranges array<int>"))
 
 
 def _keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         kept, words, gone = [], [], []
-        for text, starts in zip(b["__text"], b.pop("__starts"), strict=True):
+        for text, ranges in zip(b["__text"], b.pop("__ranges"), strict=True):
             parts = (text or "").encode().split()
             n, removed = len(parts), 0
-            if starts is not None and len(starts):
-                starts = np.asarray(starts)
-                edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + WINDOW, minlength=n + 1)
+            if ranges is not None and len(ranges):
+                first, last = np.asarray(ranges).reshape(-1, 2).T
+                edge = np.bincount(first, minlength=n + 1) - np.bincount(last + WINDOW, minlength=n + 1)
                 stays = np.cumsum(edge[:n]) == 0
                 removed = n - int(stays.sum())
                 parts = [parts[i] for i in np.flatnonzero(stays)]
@@ -142,7 +149,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """Per row of ``docs``: id, the columns named in ``keep``, kept_text (words joined by one space), n_words, n_removed."""
     columns = [id_col, *[c for c in keep if c != id_col]]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    joined = docs.select(*columns, F.col(text_col).alias("__text"), _key(id_col).alias("__k"), F.xxhash64(text_col).alias("__t")).join(
-        repeats(docs, id_col, text_col).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("starts").alias("__starts")), ["__k", "__t"], "left"
-    )
-    return joined.select(*columns, "__text", "__starts").mapInPandas(_keep, f"{out}, kept_text string, n_words long, n_removed long")
+    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    # texts are told apart under one id only if ids repeat
+    base = docs.select(*columns, F.col(text_col).alias("__text"), key.alias("__k"), (F.lit(0).cast("long") if rows == ids else F.xxhash64(text_col)).alias("__t"))
+    ranges = repeats(base.select(F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("__text").alias("text"))).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("ranges").alias("__ranges"))
+    documents, numbers = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("__ranges")), F.lit(0))).first()
+    small = documents <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS
+    joined = base.join(F.broadcast(ranges) if small else ranges, ["__k", "__t"], "left").select(*columns, "__text", "__ranges")
+    return joined.mapInPandas(_keep, f"{out}, kept_text string, n_words long, n_removed long")
