@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         open_keys = materialize(rooted.join(several, "key", "left_semi"))
         if step < ROUNDS:
-            pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "root")).alias("p"))
+            pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(step)).alias("h"), "id", "n", "root")).alias("p"))
             pairs = open_keys.join(pivot, "key").where("root <> p.root").selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
         else:
             right = open_keys.selectExpr("key", "id as b", "n as nb", "root as other")
