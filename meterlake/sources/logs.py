@@ -16,7 +16,7 @@ EVENT = ["provider_id", "session_id", "ts", "workdir", "model", "input_tokens",
 
 def json_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
     """Rows file, line (ascending in the file), r (the parsed record) of all files below ``path``."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
     # a record in a column that cannot hold it is null there; a line that is no JSON object is left out
     parsed = lines.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")).select("file", "line", F.from_json("raw", schema).alias("r"))
