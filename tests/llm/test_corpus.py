@@ -81,7 +81,7 @@ def test_chat_format_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\", "<", "</s", "<s>\\</s>", None, "", "x" * 9000]
     rows = [(1, i, ["system", "user", "assistant"][min(i, 1 + i % 2) if i else 0], t) for i, t in enumerate(tricky)] + [(2, 0, None, "a"), (None, 0, "assistant", "b")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, window string")
-    windows = chat_format.windows(df, budget=200, history=40)
+    windows = chat_format.windows(df, budget=60, history=20)
     assert windows.where("conv = 1").count() > 1
     got = {r.conv_id: r for r in chat_format.read_back(windows).collect()}
     by = collections.defaultdict(list)
