@@ -56,7 +56,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL cannot express every stage; tests compare them with brute-force versions.
+#: SQL cannot express every stage. Tests compare the operators, not yet the whole pipeline, with brute force.
 ORACLE_SQL = None
 
 
