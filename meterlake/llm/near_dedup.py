@@ -5,7 +5,7 @@ A signature has ``SYMBOLS`` MinHash values of 16 bits; two documents are candida
 ``DISTANCE`` of them differ. By pigeonhole, cut into ``CHUNKS`` > DISTANCE / 2 chunks, such a pair has
 a chunk with one error at most; each chunk is filed once for each place the error may be in, so every pair
 within the distance meets under a key. At a similarity of 0.8 more than DISTANCE symbols differ in
-about three of a million pairs (binomial tail).
+about 2.8 of a million pairs (binomial tail).
 
 Keys are shared by whole groups of copies, whose pairs are never all written. In each round the members of a
 key meet only a pivot, candidates are confirmed on the full sets, and links become components. From then
