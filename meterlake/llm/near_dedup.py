@@ -9,8 +9,11 @@ about 2.8 of a million pairs (binomial tail).
 
 Keys are shared by whole groups of copies, whose pairs are never all written. In each round the members of a
 key meet only a pivot, candidates are confirmed on the full sets, and links become components. From then
-on only keys whose members are still in different components go on: after ``ROUNDS`` rounds with new
-pivots, the pairs across components (and no others) are compared exhaustively. Nothing is capped.
+on only keys whose members are still in different components go on. Among these, shingles that no other
+component has bound what a document can have in common with one: an overlap of at most ``m`` shingles of
+sets of ``x`` and ``y`` means a similarity of at most m / (x + y - m), and pairs whose bound is too low are
+no candidates. After ``ROUNDS`` rounds with new pivots, the pairs across components that are left (and no
+others) are compared exhaustively. Nothing is capped.
 
 Edge cases: null, empty and wordless texts have an empty set and no link; fewer words than a shingle are one
 shingle; a null id counts as the least; rows repeated under one id are one document with the
@@ -31,7 +34,7 @@ from meterlake.llm.shared import connected_components, materialize, mix, rolling
 
 SYMBOLS, DISTANCE = 120, 45
 CHUNKS = DISTANCE // 2 + 1
-ROUNDS = 2
+ROUNDS = 1
 #: So many candidate documents at most (an id and 16 bytes each) are broadcast to pick their texts.
 BROADCAST_ROWS = 200_000
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -103,6 +106,20 @@ class _Search:
     def __init__(self, texts: DataFrame, reps: DataFrame, width: int, percent: int):
         self.texts, self.reps, self.width, self.percent = texts, reps, width, percent
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """id, items: the shingle sets of the ids in ``wanted``."""
+        wanted = materialize(self.reps.select("id", "digest").join(wanted, "id", "left_semi"))
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "digest")
+        return materialize(texts.mapInPandas(_sets(self.width), "id long, items array<long>"))
+
+    def own(self, rooted: DataFrame) -> DataFrame:
+        """id, own: how many shingles no other root in ``rooted`` has (those that three or more documents have are not counted)."""
+        roots = rooted.select("id", "root").distinct()
+        each = self.sets(roots).join(roots, "id").select("id", "root", F.explode("items").alias("s"))
+        holders = each.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
+        return holders.where("c <= 2 and x = y").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("own"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b, na, nb) those within the signature distance whose sets are alike."""
         p = self.percent
@@ -112,14 +129,21 @@ class _Search:
         near = sized.join(sig.selectExpr("id as a", "sig as sa"), "a").join(sig.selectExpr("id as b", "sig as sb"), "b").where(distance("sa", "sb") <= DISTANCE).select("a", "b", "na", "nb")
         near = materialize(near)
         wanted = near.selectExpr("a as id").union(near.selectExpr("b as id")).distinct()
-        wanted = materialize(self.reps.select("id", "digest").join(wanted, "id", "left_semi"))
-        few = wanted.count() <= BROADCAST_ROWS
-        sets = materialize(self.texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "digest").mapInPandas(_sets(self.width), "id long, items array<long>"))
+        sets = self.sets(wanted)
         both = near.join(sets.selectExpr("id as a", "items as xa"), "a").join(sets.selectExpr("id as b", "items as xb"), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         return materialize(both.withColumn("c", common).where(f"100 * c >= {p} * (na + nb - c)").select("a", "b"))
 
 
+def _rooted(filed: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    return filed.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", *more, F.coalesce("root", "id").alias("root"))
+
+
+def _several(rooted: DataFrame) -> DataFrame:
+    """Keys whose members are in several components, and their smallest set."""
+    return rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("least_n")).where("x < y").select("key", "least_n")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id of ``docs``: id, n_shingles, component_id (least id it is linked to, over any number of links)."""
     low = -(1 << 63)
@@ -137,23 +161,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = search.links(tested)
 
     roots = connected_components(links)
-    open_keys = None
+    rooted = _rooted(filed.join(pivots.select("key"), "key", "left_semi"), roots)
+    open_keys = materialize(rooted.join(_several(rooted), "key", "left_semi"))
+    # m: the most shingles that a document can have in common with one of another component
+    open_keys = open_keys.join(search.own(open_keys), "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "root")
+    possible = f"100 * least(m, p.m) >= {percent} * (n + p.n - least(m, p.m))"
     for step in range(ROUNDS + 1):
-        source = filed.join(pivots.select("key"), "key", "left_semi") if open_keys is None else open_keys.drop("root")
-        rooted = source.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        open_keys = materialize(rooted.join(several, "key", "left_semi"))
+        rooted = _rooted(open_keys, roots, "m")
+        hopeful = rooted.join(_several(rooted), "key").where(f"100 * m >= {percent} * (n + greatest(least_n, m) - m)")
+        open_keys = materialize(hopeful.drop("least_n"))
+        right = open_keys.select("key", F.struct("id", "n", "m", "root").alias("p"))
         if step < ROUNDS:
-            pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(step)).alias("h"), "id", "n", "root")).alias("p"))
-            pairs = open_keys.join(pivot, "key").where("root <> p.root").selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
+            pivot = right.groupBy("key").agg(F.min(F.struct(F.xxhash64("p.id", "key", F.lit(step)), "p")).alias("x")).select("key", "x.p")
+            pairs = open_keys.join(pivot, "key").where(f"root <> p.root and {possible}")
         else:
-            right = open_keys.selectExpr("key", "id as b", "n as nb", "root as other")
-            pairs = open_keys.selectExpr("key", "id as a", "n as na", "root").join(right, "key").where(f"a < b and root <> other and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb")
+            pairs = open_keys.join(right, "key").where(f"id < p.id and root <> p.root and {possible}")
+        pairs = pairs.selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         found = search.links(pairs)
         tested = tested.select("a", "b").unionByName(pairs.select("a", "b"))
         links = links.unionByName(found)
         roots = connected_components(links)
+        open_keys = open_keys.drop("root")
     known = members.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("component"))
     out = sketched.select("id", "n").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != low, F.col(c))
