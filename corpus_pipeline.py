@@ -56,7 +56,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL cannot express every stage. Tests compare the operators, not yet the whole pipeline, with brute force.
+#: SQL cannot express every stage; tests/llm/test_pipeline.py compares run() with plain Python on a small fixture.
 ORACLE_SQL = None
 
 
