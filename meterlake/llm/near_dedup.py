@@ -9,11 +9,12 @@ about 2.8 of a million pairs (binomial tail).
 
 Keys are shared by whole groups of copies, whose pairs are never all written. In each round the members of a
 key meet only a pivot, candidates are confirmed on the full sets, and links become components. From then
-on only keys whose members are still in different components go on. Among these, shingles that no other
-component has bound what a document can have in common with one: an overlap of at most ``m`` shingles of
-sets of ``x`` and ``y`` means a similarity of at most m / (x + y - m), and pairs whose bound is too low are
-no candidates. After ``ROUNDS`` rounds with new pivots, the pairs across components that are left (and no
-others) are compared exhaustively. Nothing is capped.
+on only keys whose members are still in different components go on, with a new pivot in each of ``ROUNDS`` rounds.
+What is left is compared exhaustively, but under rare shingles instead of keys: the shingles of every open
+document are put in one order, rarest first, and a pair that is similar enough has its first common shingle
+so early in both sets that enough shingles follow for the overlap it needs. Pairs across components that meet
+there are compared, if within the signature distance; such pairs also share a key, so this loses none of them.
+Nothing is capped.
 
 Edge cases: null, empty and wordless texts have an empty set and no link; fewer words than a shingle are one
 shingle; a null id counts as the least; rows repeated under one id are one document with the
@@ -113,30 +114,23 @@ class _Search:
         texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "digest")
         return materialize(texts.mapInPandas(_sets(self.width), "id long, items array<long>"))
 
-    def own(self, rooted: DataFrame) -> DataFrame:
-        """id, own: how many shingles no other root in ``rooted`` has (those that three or more documents have are not counted)."""
-        roots = rooted.select("id", "root").distinct()
-        each = self.sets(roots).join(roots, "id").select("id", "root", F.explode("items").alias("s"))
-        holders = each.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
-        return holders.where("c <= 2 and x = y").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("own"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b, na, nb) those within the signature distance whose sets are alike."""
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Of distinct pairs (a, b, na, nb) those within the signature distance whose sets (made here if not given) are alike."""
         p = self.percent
         sized = pairs.where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b", "na", "nb")
         sig = self.reps.select("id", "sig")
         distance = F.pandas_udf(_distance, "int")
         near = sized.join(sig.selectExpr("id as a", "sig as sa"), "a").join(sig.selectExpr("id as b", "sig as sb"), "b").where(distance("sa", "sb") <= DISTANCE).select("a", "b", "na", "nb")
         near = materialize(near)
-        wanted = near.selectExpr("a as id").union(near.selectExpr("b as id")).distinct()
-        sets = self.sets(wanted)
+        if sets is None:
+            sets = self.sets(near.selectExpr("a as id").union(near.selectExpr("b as id")).distinct())
         both = near.join(sets.selectExpr("id as a", "items as xa"), "a").join(sets.selectExpr("id as b", "items as xb"), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         return materialize(both.withColumn("c", common).where(f"100 * c >= {p} * (na + nb - c)").select("a", "b"))
 
 
-def _rooted(filed: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
-    return filed.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", *more, F.coalesce("root", "id").alias("root"))
+def _rooted(filed: DataFrame, roots: DataFrame) -> DataFrame:
+    return filed.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
 
 
 def _several(rooted: DataFrame) -> DataFrame:
@@ -144,6 +138,31 @@ def _several(rooted: DataFrame) -> DataFrame:
     return rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("least_n")).where("x < y").select("key", "least_n")
 
 
+def _meeting(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) of different components (root) that can be ``percent`` alike.
+
+    ``documents`` has id, n, root and least_n, the size of the smallest set to compare with; ``sets`` their shingles.
+    A common shingle with ``after`` shingles from it on, in the common order, allows an overlap of ``after`` if it is
+    the first one; alike sets of ``x`` and ``y`` need percent * (x + y) / (100 + percent).
+    """
+
+    def enough(after: str, size: str, other: str) -> str:
+        return f"{100 + percent} * {after} >= {percent} * ({size} + {other})"
+
+    each = sets.select("id", F.explode("items").alias("s"))
+    ordered = each.join(each.groupBy("s").agg(F.count("*").alias("c")), "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
+    spread = ordered.join(documents, "id").select("id", "n", "root", "least_n", F.posexplode("x").alias("at", "y"))
+    first = spread.selectExpr("*", "n - at as after").where(f"y.c > 1 and {enough('after', 'n', 'least_n')}")
+    first = materialize(first.select("id", "n", "root", "after", "y.s"))
+    # of each shingle's holders those outside its largest component meet all others: no pair of one component is formed twice
+    sizes = first.groupBy("s", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("several")).where("several > 1").select("s", "most")
+    held = first.join(largest, "s")
+    few = held.where("root <> most").select("s", F.struct("id", "n", "root", "after").alias("p"))
+    pairs = held.join(few, "s").where(f"root <> p.root and (root = most or id < p.id) and {enough('least(after, p.after)', 'n', 'p.n')}")
+    return pairs.selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id of ``docs``: id, n_shingles, component_id (least id it is linked to, over any number of links)."""
     low = -(1 << 63)
@@ -161,28 +180,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = search.links(tested)
 
     roots = connected_components(links)
-    rooted = _rooted(filed.join(pivots.select("key"), "key", "left_semi"), roots)
-    open_keys = materialize(rooted.join(_several(rooted), "key", "left_semi"))
-    # m: the most shingles that a document can have in common with one of another component
-    open_keys = open_keys.join(search.own(open_keys), "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "root")
-    possible = f"100 * least(m, p.m) >= {percent} * (n + p.n - least(m, p.m))"
-    for step in range(ROUNDS + 1):
-        rooted = _rooted(open_keys, roots, "m")
-        hopeful = rooted.join(_several(rooted), "key").where(f"100 * m >= {percent} * (n + greatest(least_n, m) - m)")
-        open_keys = materialize(hopeful.drop("least_n"))
-        right = open_keys.select("key", F.struct("id", "n", "m", "root").alias("p"))
-        if step < ROUNDS:
-            pivot = right.groupBy("key").agg(F.min(F.struct(F.xxhash64("p.id", "key", F.lit(step)), "p")).alias("x")).select("key", "x.p")
-            pairs = open_keys.join(pivot, "key").where(f"root <> p.root and {possible}")
-        else:
-            pairs = open_keys.join(right, "key").where(f"id < p.id and root <> p.root and {possible}")
+    open_keys = filed.join(pivots.select("key"), "key", "left_semi")
+    for step in range(ROUNDS):
+        rooted = _rooted(open_keys, roots)
+        open_keys = materialize(rooted.join(_several(rooted).select("key"), "key"))
+        pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(step)), F.struct("id", "n", "root").alias("p"))).alias("x")).select("key", "x.p")
+        pairs = open_keys.join(pivot, "key").where("root <> p.root")
         pairs = pairs.selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        found = search.links(pairs)
+        links = links.unionByName(search.links(pairs))
         tested = tested.select("a", "b").unionByName(pairs.select("a", "b"))
-        links = links.unionByName(found)
         roots = connected_components(links)
         open_keys = open_keys.drop("root")
+    rooted = _rooted(open_keys, roots)
+    left = rooted.join(_several(rooted), "key").groupBy("id", "n", "root").agg(F.min("least_n").alias("least_n"))
+    left = materialize(left)
+    sets = search.sets(left)
+    pairs = _meeting(left, sets, percent)
+    pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    roots = connected_components(links.unionByName(search.links(pairs, sets)))
     known = members.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("component"))
     out = sketched.select("id", "n").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != low, F.col(c))
