@@ -1,16 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-Fixed masks are laid over every run of words; a mask's ignored positions may differ, so a seed
-survives substitutions there. Seeds of benchmark items are joined with seeds of documents; a hit
-names a document, an item and the shift between their word positions. Each hit is verified on the whole
-item: its words are compared with the document's at that shift, and the item positions that agree
-are counted once over all of the pair's shifts (so an inserted or dropped word loses no more than
-itself). A document is contaminated by an item if at least ``SHARE`` of the item's words agree,
-and ``LEAST`` at least (all, in a shorter item).
-
-Words are split at white space and A-Z are lower-cased. Items shorter than a mask use the mask's
-beginning. The benchmark's seeds are counted first and broadcast only up to ``BROADCAST_ROWS``
-(three numbers a row); more are joined by a shuffle on the seed, in which Spark splits hot seeds.
+A seed is three words of which the last is at most ``SPAN`` - 1 after the first, in each of the ten
+layouts. Seeds of benchmark items are joined with seeds of documents; a hit names a document, an
+item and the shift between their word positions, and hits are counted by shift. Of k words that agree among n at
+one shift, at least (3k - n - 5) / 2 triples of neighbours lie within the span (their gaps add up to n - 1
+at most), so shifts with fewer hits than the rule needs are left out and no other: a pair whose share is reached at
+one shift is always found, whichever words were replaced. Each shift left is verified on the whole item, whose
+words are compared with the document's there.
+
+A document is contaminated by an item if at least ``SHARE`` of the item's words agree, and ``LEAST`` at
+least (all, in a shorter item). Item positions are counted once over all of the pair's shifts at which
+``PART`` words agree (so an inserted or dropped word loses no more than itself); such a part of
+the item is found if seven of ten words in a row agree there.
+
+Words are split at white space and A-Z are lower-cased. The benchmark's seeds are counted first and
+broadcast only up to ``BROADCAST_ROWS`` (three numbers a row); more are joined by a shuffle on the
+seed, in which Spark splits hot seeds. The documents of the shifts left are picked in the same way.
 
 Edge cases: null and empty texts and items match nothing; repeated items are one each by id, the longer
 text kept; a repeated document row is reported once by id; an empty table on either side gives an
@@ -22,26 +27,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import lower_ascii, words_of
+from meterlake.llm.shared import lower_ascii, materialize, words_of
 
-#: 1 is compared, 0 is ignored.
-MASKS = ("1101011011", "1011101101", "1110010111")
-SHARE, LEAST = 0.5, 8
+SPAN = 6
+#: Places of a seed's second and third word.
+LAYOUTS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+SHARE, LEAST, PART = 0.5, 8, 7
 BROADCAST_ROWS = 500_000
 
 
-def _seeds(words: Column, n: Column, mask: str) -> Column:
-    """struct(pos, seed) at every position where ``mask`` fits; one cut-off seed if the text is shorter."""
-    kept = [i for i, c in enumerate(mask) if c == "1"]
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(n - len(mask), F.lit(0))), lambda p: F.struct(p.alias("pos"), F.xxhash64(F.lit(mask), *[F.get(words, p + i) for i in kept]).alias("seed")))
-    return F.when(n > 0, whole).otherwise(F.expr("cast(array() as array<struct<pos:int,seed:bigint>>)"))
-
-
 def seeds(df: DataFrame) -> DataFrame:
     """From rows (key, words: array of word hashes): key, pos, seed."""
-    n = F.size("words")
-    every = F.concat(*[_seeds(F.col("words"), n, m) for m in MASKS])
-    return df.select("key", F.explode(every).alias("s")).select("key", "s.pos", "s.seed")
+    ahead = [F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(SPAN)]
+    each = df.select("key", F.posexplode(F.arrays_zip(*ahead)).alias("pos", "w")).select("key", "pos", "w.*")
+    every = F.array(*[F.when(F.col(f"w{j}").isNotNull(), F.xxhash64("w0", f"w{i}", f"w{j}", F.lit(i * SPAN + j))) for i, j in LAYOUTS])
+    return each.select("key", "pos", F.explode(every).alias("seed")).where("seed is not null")
 
 
 def _hashed(text: Column) -> Column:
@@ -52,16 +52,21 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Rows id, item, item_words, matched: one for each document and item that it contains."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("item is not null").groupBy("item").agg(F.max_by("t", F.length("t")).alias("t"))
     items = items.select("item", _hashed(F.col("t")).alias("item_hashes")).where(F.size("item_hashes") > 0)
-    item_seeds = seeds(items.select(F.col("item").alias("key"), F.col("item_hashes").alias("words"))).select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "seed")
+    n = F.size("item_hashes")
+    need = F.greatest(F.ceil(share * n), F.least(F.lit(least), n))
+    items = items.withColumn("hits", F.greatest(F.least(F.ceil((3 * need - n - 5) / 2), F.lit(3)), F.lit(1)))
+    item_seeds = seeds(items.select(F.struct("item", "hits").alias("key"), F.col("item_hashes").alias("words"))).select("key.*", F.col("pos").alias("item_pos"), "seed")
     small = item_seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).where("key is not null")
-    hits = seeds(texts.select("key", _hashed(F.col("t")).alias("words"))).join(F.broadcast(item_seeds) if small else item_seeds, "seed").select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    met = seeds(texts.select("key", _hashed(F.col("t")).alias("words"))).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    hits = met.groupBy("key", "item", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
 
-    shifts = hits.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts"))
-    found = shifts.join(F.broadcast(items) if small else items, "item").join(texts, "key").withColumn("words", _hashed(F.col("t")))
-    n = F.size("item_hashes")
+    shifts = materialize(hits.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts")))
+    few = shifts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(shifts) if few else shifts, "key").join(F.broadcast(items) if small else items, "item").withColumn("words", _hashed(F.col("t")))
     agree = F.transform("shifts", lambda s: F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.when(j + s >= 0, F.get("words", j + s) == F.get("item_hashes", j)).otherwise(False)))
-    found = found.withColumn("matched", F.size(F.array_distinct(F.flatten(agree))))
+    parts = F.filter(agree, lambda x: F.size(x) >= F.least(F.lit(PART), n))
+    found = found.withColumn("matched", F.size(F.array_distinct(F.flatten(parts))))
     kept = found.where((F.col("matched") >= share * n) & (F.col("matched") >= F.least(F.lit(least), n)))
     return kept.groupBy("key", "item").agg(F.max(n).alias("item_words"), F.max("matched").alias("matched")).select(F.col("key").alias(id_col), F.col("item").alias(item_col), "item_words", "matched")
 

@@ -126,6 +126,19 @@ def test_decontamination_tolerates_substitutions(spark, docs):
     assert decontaminate.find(empty(docs), bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_above_the_share(spark):
+    rows, items = [], []
+    for i, (n, every, phase) in enumerate([(n, every, phase) for n in (15, 16, 20, 30, 59) for every, phase in ((4, 0), (4, 3), (3, 1), (2, 1))]):
+        item = [f"i{i}x{j}" for j in range(n)]
+        worn = [f"z{j}" if j % every == phase else w for j, w in enumerate(item)]
+        items.append((i, " ".join(item)))
+        rows.append((i, passage(i, 30) + " " + " ".join(worn) + " " + passage(i + 1, 300)))
+    fewer = [w if j % 2 else f"z{j}" for j, w in enumerate(items[4][1].split())]
+    rows.append((99, " ".join([*fewer[:15], "z"])))
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(len(items))]
+
+
 def test_url_rules_and_reputation(spark):
     pages = spark.createDataFrame([(i, f"http://bad.example.net/{i}") for i in range(40)] + [(100 + i, f"http://Good.example.net/{i}") for i in range(40)] + [(200, None), (201, "no scheme"), (202, "x://a.org/q"), (203, "x://example.org/en/12?a"), (204, "x://b.com/de/")], "page_id long, url string")
     seen = pages.where("page_id < 140").selectExpr("page_id", "if(page_id < 100, 1, 0) as bad")
