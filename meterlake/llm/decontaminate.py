@@ -13,7 +13,8 @@ least (all, in a shorter item). Item positions are counted once over all of the
 ``PART`` words agree (so an inserted or dropped word loses no more than itself); such a part of
 the item is found if seven of ten words in a row agree there.
 
-Words are split at white space and A-Z are lower-cased. The benchmark's seeds are counted first and
+Words are split at white space and A-Z are lower-cased. Items of one or two words have one seed of
+all their words, which documents make at every position if there are such items. The benchmark's seeds are counted first and
 broadcast only up to ``BROADCAST_ROWS`` (three numbers a row); more are joined by a shuffle on the
 seed, in which Spark splits hot seeds. The documents of the shifts left are picked in the same way.
 
@@ -24,6 +25,8 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +39,17 @@ SHARE, LEAST, PART = 0.5, 8, 7
 BROADCAST_ROWS = 500_000
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """From rows (key, words: array of word hashes): key, pos, seed."""
-    ahead = [F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(SPAN)]
-    each = df.select("key", F.posexplode(F.arrays_zip(*ahead)).alias("pos", "w")).select("key", "pos", "w.*")
-    every = F.array(*[F.when(F.col(f"w{j}").isNotNull(), F.xxhash64("w0", f"w{i}", f"w{j}", F.lit(i * SPAN + j))) for i, j in LAYOUTS])
-    return each.select("key", "pos", F.explode(every).alias("seed")).where("seed is not null")
+def seeds(df: DataFrame, short: Sequence[int] = (), whole: bool = False) -> DataFrame:
+    """From rows (key, words: array of word hashes): key, pos, seed.
+
+    For each length in ``short`` also seeds of so many words; of texts of that length only, if ``whole``.
+    """
+    n = F.size("words")
+    ahead = [F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(SPAN)]
+    each = df.select("key", n.alias("n"), F.posexplode(F.arrays_zip(*ahead)).alias("pos", "w")).select("key", "n", "pos", "w.*")
+    every = [F.when(F.col(f"w{j}").isNotNull(), F.xxhash64("w0", f"w{i}", f"w{j}", F.lit(i * SPAN + j))) for i, j in LAYOUTS]
+    every += [F.when((F.col("n") == k) if whole else F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(k)], F.lit(-k))) for k in short]
+    return each.select("key", "pos", F.explode(F.array(*every)).alias("seed")).where("seed is not null")
 
 
 def _hashed(text: Column) -> Column:
@@ -55,10 +63,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     n = F.size("item_hashes")
     need = F.greatest(F.ceil(share * n), F.least(F.lit(least), n))
     items = items.withColumn("hits", F.greatest(F.least(F.ceil((3 * need - n - 5) / 2), F.lit(3)), F.lit(1)))
-    item_seeds = seeds(items.select(F.struct("item", "hits").alias("key"), F.col("item_hashes").alias("words"))).select("key.*", F.col("pos").alias("item_pos"), "seed")
+    short = sorted(r.n for r in items.select(n.alias("n")).where("n < 3").distinct().collect())  # 1 and 2 at most
+    item_seeds = seeds(items.select(F.struct("item", "hits").alias("key"), F.col("item_hashes").alias("words")), short, whole=True).select("key.*", F.col("pos").alias("item_pos"), "seed")
     small = item_seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).where("key is not null")
-    met = seeds(texts.select("key", _hashed(F.col("t")).alias("words"))).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    met = seeds(texts.select("key", _hashed(F.col("t")).alias("words")), short).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     hits = met.groupBy("key", "item", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
 
     shifts = materialize(hits.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts")))

@@ -139,6 +139,14 @@ def test_decontamination_finds_all_above_the_share(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(len(items))]
 
 
+def test_decontamination_finds_short_items_in_long_texts(spark):
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(1, 11)]
+    rows = [(n, passage(n, 40) + " " + t + " " + passage(n + 1, 200)) for n, t in items]
+    rows += [(100 + n, passage(n, 40) + " " + t.rsplit(" ", 1)[0] + " z " + passage(n + 1, 200)) for n, t in items if 1 < n < 9]
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(n, n, n) for n in range(1, 11)]
+
+
 def test_url_rules_and_reputation(spark):
     pages = spark.createDataFrame([(i, f"http://bad.example.net/{i}") for i in range(40)] + [(100 + i, f"http://Good.example.net/{i}") for i in range(40)] + [(200, None), (201, "no scheme"), (202, "x://a.org/q"), (203, "x://example.org/en/12?a"), (204, "x://b.com/de/")], "page_id long, url string")
     seen = pages.where("page_id < 140").selectExpr("page_id", "if(page_id < 100, 1, 0) as bad")
