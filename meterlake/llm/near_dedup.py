@@ -98,7 +98,7 @@ def _sets(width: int):
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
             own = [hashlib.md5(s.tobytes()).digest() == d for s, d in zip(sets, b["digest"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "items": [s.view(np.int64) for s in sets]})[own].drop_duplicates("id")
+            yield pd.DataFrame({"id": b["id"], "items": [s.view(np.int64) for s in sets]})[own]
 
     return run
 
@@ -108,11 +108,11 @@ class _Search:
         self.texts, self.reps, self.width, self.percent = texts, reps, width, percent
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """id, items: the shingle sets of the ids in ``wanted``."""
+        """id, items: the shingle sets of the ids in ``wanted``, one row each, however often and wherever an id's row repeats."""
         wanted = materialize(self.reps.select("id", "digest").join(wanted, "id", "left_semi"))
         few = wanted.count() <= BROADCAST_ROWS
         texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "digest")
-        return materialize(texts.mapInPandas(_sets(self.width), "id long, items array<long>"))
+        return materialize(texts.mapInPandas(_sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
 
     def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of distinct pairs (a, b, na, nb) those within the signature distance whose sets (made here if not given) are alike."""

@@ -46,6 +46,15 @@ def test_near_duplicates_as_brute_force(docs):
     assert near_dedup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_repeated_rows_in_other_partitions_make_one_set(spark):
+    rows = [(1, "a b c d e f"), (2, "g h i j"), (1, "a b c d e f")]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "id long, text string")
+    sketched = texts.mapInPandas(near_dedup._sketch(2), "id long, n long, digest binary, sig binary")
+    search = near_dedup._Search(texts, sketched.dropDuplicates(["id"]), 2, 80)
+    got = {r.id: len(r.items) for r in search.sets(texts.select("id").distinct()).collect()}
+    assert got == {1: 5, 2: 3} and search.sets(texts.select("id").distinct()).count() == 2
+
+
 def test_keys_meet_within_the_distance():
     import numpy as np
 
