@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontaminate, language_id, near_dedup, packing, substring_dedup
-from meterlake.llm.shared import materialize
+from meterlake.llm.shared import materialize, row_key
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +23,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the least id stays."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept"))
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    rows, ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(-(1 << 63))))).first()
-    return stay if rows == ids else stay.dropDuplicates(["doc_id"])
+    """Of each group of near duplicates (five words, 0.8) the document with the least id stays; rows are told apart by id and text."""
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    found = near_dedup.near_duplicates(keyed, width=5, percent=80, id_col="__key").select("__key", "component_id")
+    least = keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("x"))
+    stay = keyed.join(least.select("x.__key"), "__key", "left_semi")
+    rows, keys = keyed.agg(F.count("*"), F.count_distinct("__key")).first()
+    return (stay if rows == keys else stay.dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

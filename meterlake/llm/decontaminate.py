@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import lower_ascii, materialize, words_of
+from meterlake.llm.shared import lower_ascii, materialize, row_key, words_of
 
 SPAN = 6
 #: Places of a seed's second and third word.
@@ -80,6 +80,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return kept.groupBy("key", "item").agg(F.max(n).alias("item_words"), F.max("matched").alias("matched")).select(F.col("key").alias(id_col), F.col("item").alias(item_col), "item_words", "matched")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id no benchmark item contaminates."""
-    return docs.join(find(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text no benchmark item contaminates, by id and text: ids may be null or clash."""
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
+    found = find(keyed, benchmark, id_col="__key", text_col=text_col, **options)
+    return keyed.join(found.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)

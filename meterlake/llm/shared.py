@@ -53,6 +53,11 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit hash of a row's id and text, so that rows with null or clashing ids are told apart."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift, multiply), elementwise."""
     h = h ^ (h >> np.uint64(30))

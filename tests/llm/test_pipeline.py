@@ -74,6 +74,20 @@ def test_pipeline_as_plain_python(spark, tmp_path):
         assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
 
 
+def test_null_and_clashing_ids_lose_no_clean_document(spark, tmp_path):
+    item = passage(90, 40)
+    clean = [(None, passage(20, 60)), (None, passage(21, 70)), (5, passage(22, 80)), (5, passage(23, 90)), (6, passage(26, 60))]
+    leaks = [(None, [*passage(24, 50), *item]), (6, [*passage(25, 50), *item])]
+    rows = [(k, " ".join(w)) for k, w in [*clean, *leaks, (7, clean[2][1]), (None, clean[0][1])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+    left = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    low = lambda r: (r[0] or 0, r[1])
+    assert sorted([tuple(r) for r in kept.collect()], key=low) == sorted([(k, " ".join(w)) for k, w in [*clean, *leaks]], key=low)
+    assert sorted([tuple(r) for r in left.collect()], key=low) == sorted([(k, " ".join(w)) for k, w in clean], key=low)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
