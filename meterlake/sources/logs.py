@@ -55,20 +55,24 @@ def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session logs whose token counts run on: usage is the difference to the line before, never negative.
 
     Handles rollout records (session_meta, turn_context, event_msg of type token_count) and the plain
-    form with token_count on each line. A total that shrinks has begun anew.
+    form with token_count on each line. A total that shrinks has begun anew. A record's last_token_usage
+    counts instead of the difference if the total differs from the one before or is missing.
     """
     schema = f"""timestamp string, session_id string, cwd string, model string, token_count struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>, type string,
      payload struct<id:string,cwd:string,model:string,type:string,info:struct<last_token_usage:struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>,total_token_usage:struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>>>"""
     r = json_lines(spark, path, schema)
     r = r.select("file", "line", "r.*").withColumn("model", fill_down(F.coalesce(F.col("model"), F.col("payload.model")))).withColumn("workdir", fill_down(F.coalesce(F.col("cwd"), F.col("payload.cwd"))))
     r = r.withColumn("session_id", fill_down(F.coalesce(F.col("session_id"), F.when(F.col("type") == "session_meta", F.col("payload.id")))))
-    running = F.coalesce(F.col("payload.info.total_token_usage"), F.col("token_count"))
-    r = r.withColumn("now", running).where("now is not null").withColumn("before", F.lag("now").over(Window.partitionBy("file").orderBy("line")))
+    total, last = F.col("payload.info.total_token_usage"), F.col("payload.info.last_token_usage")
+    r = r.withColumn("last", last).withColumn("now", F.coalesce(total, F.when(last.isNull(), F.col("token_count"))))
+    before = F.last("now", ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("before", before).where("now is not null or last is not null")
+    own = F.col("last").isNotNull() & ~(F.col("now").isNotNull() & F.col("now").eqNullSafe(F.col("before")))
 
     def delta(name: str) -> Column:
         now, then = F.coalesce(F.col(f"now.{name}"), F.lit(0)), F.coalesce(F.col(f"before.{name}"), F.lit(0))
         again = F.coalesce(F.col("now.total_tokens"), F.lit(0)) < F.coalesce(F.col("before.total_tokens"), F.lit(0))
-        return F.when(again, now).otherwise(F.greatest(now - then, F.lit(0)))
+        return F.when(own, number(F.col(f"last.{name}"))).when(again, now).otherwise(F.greatest(now - then, F.lit(0)))
 
     read, write = delta("cached_input_tokens"), delta("cache_creation_input_tokens")
     split = r.select(

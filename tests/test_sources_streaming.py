@@ -23,6 +23,15 @@ def test_cumulative_counts_become_differences(spark, tmp_path):
     assert [(r.input_tokens, r.output_tokens, r.cache_read_tokens, r.model, r.workdir, r.session_id) for r in got] == [(90, 20, 10, "gpt", "/w", "s"), (50, 10, 0, "gpt", "/w", "s"), (0, 1, 10, "gpt", "/w", "s")]
 
 
+def test_last_usage_counts_for_inherited_and_missing_totals(spark, tmp_path):
+    use = lambda i, o: {"input_tokens": i, "output_tokens": o, "total_tokens": i + o}
+    row = lambda **info: {"timestamp": "2026-01-01T10:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": info}}
+    meta = {"type": "session_meta", "payload": {"id": "s", "cwd": "/w"}}
+    where = lines(tmp_path / "l" / "s.jsonl", meta, row(total_token_usage=use(1000, 100), last_token_usage=use(30, 3)), row(total_token_usage=use(1000, 100), last_token_usage=use(30, 3)), row(last_token_usage=use(7, 2)), row(total_token_usage=use(1050, 110)))
+    got = logs.cumulative_sessions(spark, where).orderBy("dedup_key").collect()
+    assert [(r.input_tokens, r.output_tokens) for r in got] == [(30, 3), (7, 2), (50, 10)]
+
+
 def test_last_row_of_a_message_counts(spark, tmp_path):
     use = lambda o, **k: {"input_tokens": 1, "output_tokens": o} | k
     row = lambda o, **k: {"timestamp": "2026-01-01T10:00:00Z", "session_id": "s", "message": {"id": "m", "model": "X", "usage": use(o, **k)}}
