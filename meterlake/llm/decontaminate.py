@@ -13,10 +13,12 @@ least (all, in a shorter item). Item positions are counted once over all of the
 ``PART`` words agree (so an inserted or dropped word loses no more than itself); such a part of
 the item is found if seven of ten words in a row agree there.
 
-Words are split at white space and A-Z are lower-cased. Items of one or two words have one seed of
-all their words, which documents make at every position if there are such items. The benchmark's seeds are counted first and
-broadcast only up to ``BROADCAST_ROWS`` (three numbers a row); more are joined by a shuffle on the
-seed, in which Spark splits hot seeds. The documents of the shifts left are picked in the same way.
+Words are split at white space and lower-cased. Items of one or two words have one seed of
+all their words, which documents make at every position if there are such items. A table of ``FILTER_LONGS`` * 64 bits,
+whatever the benchmark's size, tells which words are surely in no item; these take part in no seed. The benchmark's
+seeds are counted first and broadcast only up to ``BROADCAST_ROWS`` (three numbers a row); more are joined by a shuffle on the
+seed, in which Spark splits hot seeds. The documents of the shifts left are picked in the same way, and only they are
+read again. Words, positions and seeds are rows and array elements, not lambdas: all of it is compiled code.
 
 Edge cases: null and empty texts and items match nothing; repeated items are one each by id, the longer
 text kept; a repeated document row is reported once by id; an empty table on either side gives an
@@ -30,54 +32,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import lower_ascii, materialize, row_key, words_of
+from meterlake.llm.shared import materialize, row_key
 
 SPAN = 6
 #: Places of a seed's second and third word.
 LAYOUTS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 SHARE, LEAST, PART = 0.5, 8, 7
 BROADCAST_ROWS = 500_000
+#: Size of the table of words that items have.
+FILTER_LONGS = 4096
 
 
-def seeds(df: DataFrame, short: Sequence[int] = (), whole: bool = False) -> DataFrame:
-    """From rows (key, words: array of word hashes): key, pos, seed.
+def _words(text: Column) -> Column:
+    """Array of the lower-cased words of a text; a single empty string if it has none."""
+    return F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    """Element and bit of a hash in the word table."""
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_LONGS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def word_table(items: DataFrame) -> Column:
+    """The table of the words in ``items`` (words: array), as a constant array of ``FILTER_LONGS`` longs."""
+    element, bit = _place(F.col("h"))
+    hashes = items.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("h")).select(element.alias("e"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    longs = {r.e: r.b for r in hashes.groupBy("e").agg(F.bit_or("b").alias("b")).collect()}  # FILTER_LONGS rows at most
+    return F.split(F.lit(",".join(str(longs.get(i, 0)) for i in range(FILTER_LONGS))), ",").cast("array<bigint>")
+
+
+def seeds(df: DataFrame, short: Sequence[int] = (), whole: bool = False, table: Column | None = None) -> DataFrame:
+    """From rows (key, words: array of words): key, pos, seed.
 
     For each length in ``short`` also seeds of so many words; of texts of that length only, if ``whole``.
+    Words that ``table`` does not have take part in no seed.
     """
-    n = F.size("words")
-    ahead = [F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(SPAN)]
-    each = df.select("key", n.alias("n"), F.posexplode(F.arrays_zip(*ahead)).alias("pos", "w")).select("key", "n", "pos", "w.*")
-    every = [F.when(F.col(f"w{j}").isNotNull(), F.xxhash64("w0", f"w{i}", f"w{j}", F.lit(i * SPAN + j))) for i, j in LAYOUTS]
-    every += [F.when((F.col("n") == k) if whole else F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(k)], F.lit(-k))) for k in short]
-    return each.select("key", "pos", F.explode(F.array(*every)).alias("seed")).where("seed is not null")
 
+    def known(h: str) -> Column:
+        if table is None:
+            return F.col(h).isNotNull()
+        element, bit = _place(F.col(h))
+        return F.getbit(F.get(table, element), bit) == 1
+
+    each = df.select("key", "words", F.size("words").alias("n"), F.explode_outer(F.sequence(F.lit(0), F.size("words") - 1)).alias("pos"))
+    each = each.withColumn("w0", F.xxhash64(F.get("words", "pos"))).where(known("w0"))
+    ahead = [F.when(F.col("pos") + i < F.col("n"), F.xxhash64(F.get("words", F.col("pos") + i))).alias(f"h{i}") for i in range(1, SPAN)]
+    each = each.select("key", "pos", "n", "w0", *ahead).select("key", "pos", "n", "w0", *[F.when(known(f"h{i}"), F.col(f"h{i}")).alias(f"w{i}") for i in range(1, SPAN)])
+
+    def seed(*places: int, mark: int) -> Column:
+        there = F.lit(True)
+        for i in places:
+            there &= F.col(f"w{i}").isNotNull()
+        return F.when(there, F.xxhash64(*[f"w{i}" for i in places], F.lit(mark)))
 
-def _hashed(text: Column) -> Column:
-    return F.transform(words_of(lower_ascii(text)), lambda w: F.xxhash64(w))
+    every = [seed(0, i, j, mark=i * SPAN + j) for i, j in LAYOUTS]
+    every += [F.when((F.col("n") == k) if whole else F.lit(True), seed(*range(k), mark=-k)) for k in short]
+    return each.select("key", "pos", F.explode_outer(F.array(*every)).alias("seed")).where("seed is not null")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """Rows id, item, item_words, matched: one for each document and item that it contains."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("item is not null").groupBy("item").agg(F.max_by("t", F.length("t")).alias("t"))
-    items = items.select("item", _hashed(F.col("t")).alias("item_hashes")).where(F.size("item_hashes") > 0)
-    n = F.size("item_hashes")
-    need = F.greatest(F.ceil(share * n), F.least(F.lit(least), n))
-    items = items.withColumn("hits", F.greatest(F.least(F.ceil((3 * need - n - 5) / 2), F.lit(3)), F.lit(1)))
-    short = sorted(r.n for r in items.select(n.alias("n")).where("n < 3").distinct().collect())  # 1 and 2 at most
-    item_seeds = seeds(items.select(F.struct("item", "hits").alias("key"), F.col("item_hashes").alias("words")), short, whole=True).select("key.*", F.col("pos").alias("item_pos"), "seed")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("item is not null").groupBy("item").agg(F.max_by("t", F.struct(F.length("t"), "t")).alias("t"))
+    items = items.select("item", _words(F.col("t")).alias("words")).where("words[0] <> ''").withColumn("n", F.size("words"))
+    need = F.greatest(F.ceil(share * F.col("n")), F.least(F.lit(least), "n"))
+    hits = F.greatest(F.least(F.ceil((3 * need - F.col("n") - 5) / 2), F.lit(3)), F.lit(1))
+    items = materialize(items.select("item", "words", "n", need.alias("need"), hits.cast("int").alias("hits")))
+    short = sorted(r.n for r in items.select("n").where("n < 3").distinct().collect())  # 1 and 2 at most
+    item_seeds = materialize(seeds(items.select(F.struct("item", "hits").alias("key"), "words"), short, whole=True).select("key.*", F.col("pos").alias("item_pos"), "seed"))
     small = item_seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).where("key is not null")
-    met = seeds(texts.select("key", _hashed(F.col("t")).alias("words")), short).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    hits = met.groupBy("key", "item", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
+    texts = docs.select(F.col(id_col).alias("key"), _words(F.col(text_col)).alias("words")).where("key is not null")
+    met = seeds(texts, short, table=word_table(items)).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    met = met.groupBy("key", "item", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
 
-    shifts = materialize(hits.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts")))
+    shifts = materialize(met.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts")))
     few = shifts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(shifts) if few else shifts, "key").join(F.broadcast(items) if small else items, "item").withColumn("words", _hashed(F.col("t")))
-    agree = F.transform("shifts", lambda s: F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.when(j + s >= 0, F.get("words", j + s) == F.get("item_hashes", j)).otherwise(False)))
-    parts = F.filter(agree, lambda x: F.size(x) >= F.least(F.lit(PART), n))
-    found = found.withColumn("matched", F.size(F.array_distinct(F.flatten(parts))))
-    kept = found.where((F.col("matched") >= share * n) & (F.col("matched") >= F.least(F.lit(least), n)))
-    return kept.groupBy("key", "item").agg(F.max(n).alias("item_words"), F.max("matched").alias("matched")).select(F.col("key").alias(id_col), F.col("item").alias(item_col), "item_words", "matched")
+    found = texts.join(F.broadcast(shifts) if few else shifts, "key").join((F.broadcast(items) if small else items).withColumnRenamed("words", "item_words"), "item")
+    each = found.select("key", "item", "n", "need", "words", "item_words", F.explode_outer("shifts").alias("shift")).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    at = F.col("j") + F.col("shift")
+    agree = each.where((at >= 0) & (F.get("words", at) == F.get("item_words", "j")))
+    parts = agree.groupBy("key", "item", "n", "need", "shift").agg(F.collect_set("j").alias("js")).where(F.size("js") >= F.least(F.lit(PART), "n"))
+    kept = parts.select("key", "item", "n", "need", F.explode("js").alias("j")).groupBy("key", "item", "n", "need").agg(F.count_distinct("j").cast("int").alias("matched")).where("matched >= need")
+    return kept.select(F.col("key").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("item_words"), "matched")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
