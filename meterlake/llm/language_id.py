@@ -4,9 +4,10 @@ A text is first put into a language family (one-versus-rest linear SVMs); inside
 one-versus-one linear SVMs tell its close relatives apart and vote by margin.
 
 Features are hashed byte trigrams of the whole text (A-Z lower-cased), square-rooted and
-scaled to unit length. The SVMs are fitted on at most ``SAMPLE_ROWS`` labelled rows, dealt
-evenly over the languages and chosen by a hash of the id; each classifier is fitted in its own
-task. Only its weights (``DIMS + 1`` numbers) reach the driver and are broadcast.
+scaled to unit length. The SVMs are fitted on ``SAMPLE_ROWS`` labelled rows at most (20 a language, if
+there are more than 300), dealt evenly over the languages; rows are chosen by a hash of id and text below
+their language's share, without a sort. Each classifier is fitted in its own
+task. Only its weights (``DIMS + 1`` numbers) reach the driver and are broadcast. Every language in the labels can be predicted.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; texts of every length
 are read whole; rows that repeat are answered each; with no labelled row everything is ``und``;
@@ -22,7 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from meterlake.llm.shared import fraction, release, tidy
 
 #: Families of closely related languages; a language not listed is its own family.
 FAMILIES = {
@@ -56,11 +58,10 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12) -> np.ndarray:
-    """Linear SVM with squared hinge loss by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Linear SVM with squared hinge loss by dual coordinate descent; y is +1 or -1, the last column of x is 1."""
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     diag = 1 / (2 * cost)
-    q = (x * x).sum(axis=1) + diag
+    q = np.einsum("ij,ij->i", x, x) + diag
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
@@ -75,22 +76,25 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
     """Fit the classifiers on labelled rows of ``docs``; returns {"langs": [...], "weights": {name: array}}."""
     rows = docs.where(trainable) if trainable is not None else docs
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and lang <> 'und'")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows // 20).collect())
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    langs = sorted(counts)
     if not langs:
         return {"langs": [], "weights": {}}
     each = max(20, sample_rows // len(langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.where(F.col("lang").isin(langs)).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("id").distinct()
-    sample = rows.where(F.col("lang").isin(langs)).join(F.broadcast(ids), "id", "left_semi")
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(1.0 if counts[lang] <= each else 1.1 * each / counts[lang]))])
+    sample = rows.where(fraction(F.col("id"), F.col("text")) < share[F.col("lang")]).dropDuplicates(["id", "text", "lang"])
 
     jobs = {"family": langs} | {f"{a}|{b}": [a, b] for a, b in combinations(langs, 2) if family_of(a) == family_of(b)}
     names = {lang: sorted(k for k, v in jobs.items() if lang in v) for lang in langs}
     pairs = F.create_map(*[x for lang, v in names.items() for x in (F.lit(lang), F.array(*map(F.lit, v)))])
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         job = group["job"].iloc[0]
-        group = group.sort_values(["id", "text"]).groupby("lang").head(each)
-        x = np.stack([features(t) for t in group["text"]])
+        group = group.sort_values(["h", "id", "text"]).groupby("lang").head(each)
+        x = np.ones((len(group), DIMS + 1), np.float32)
+        for row, t in zip(x, group["text"], strict=True):
+            row[:DIMS] = features(t)
         if job == "family":
             own = group["lang"].map(family_of).to_numpy()
             kinds = sorted(set(own))
@@ -99,15 +103,14 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
             out = [(job, fit_svm(x, np.where(group["lang"].to_numpy() == job.split("|")[0], 1.0, -1.0)))]
         return pd.DataFrame({"name": [n for n, _ in out], "w": [w.astype(np.float32).tolist() for _, w in out]})
 
-    fitted = sample.withColumn("job", F.explode(pairs[F.col("lang")])).groupBy("job").applyInPandas(train, "name string, w array<float>")
+    fitted = sample.withColumn("h", fraction(F.col("id"), F.col("text"))).withColumn("job", F.explode(pairs[F.col("lang")])).groupBy("job").applyInPandas(train, "name string, w array<float>")
     return {"langs": langs, "weights": {r.name: np.array(r.w, np.float32) for r in fitted.collect()}}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, lang_pred, score, and the columns named in ``keep``."""
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row: id, the columns named in ``keep``, and the language and score under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [id_col, *[c for c in keep if c != id_col]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", lang_pred string, score double"
 
     def one(text, families, weights, langs):
         if not text or not any(map(str.isalpha, text)):
@@ -125,11 +128,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         pick = max(own, key=lambda k: (votes[k], k))
         return pick, float(1 / (1 + np.exp(-4 * min(gap, votes[pick]))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        families = sorted({family_of(x) for x in m["langs"]})
-        for b in batches:
-            found = [one(t, families, m["weights"], m["langs"]) if families else (UNKNOWN, 0.0) for t in b.pop("__text")]
-            yield b.assign(lang_pred=[x for x, _ in found], score=[s for _, s in found])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with tidy():
+            m = shared.value
+            families = sorted({family_of(x) for x in m["langs"]})
+            for texts in batches:
+                yield pd.DataFrame([one(t, families, m["weights"], m["langs"]) if families else (UNKNOWN, 0.0) for t in texts], columns=["lang", "score"])
 
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    found = F.pandas_udf(run, "lang string, score double").asNondeterministic()  # asked once a row, wherever it is used
+    return docs.select(*columns, found(F.col(text_col)).alias("__found")).select(*columns, F.col("__found.lang").alias(names[0]), F.col("__found.score").alias(names[1]))

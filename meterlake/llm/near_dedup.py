@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import connected_components, materialize, mix, rolling, word_hashes
+from meterlake.llm.shared import connected_components, materialize, mix, rolling, tidy, word_hashes
 
 SYMBOLS, DISTANCE = 120, 45
 CHUNKS = DISTANCE // 2 + 1
@@ -73,19 +73,21 @@ def keys(signatures: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t, width) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).digest() for s in sets], "sig": [signature(s) if len(s) else b"" for s in sets]})
+        with tidy():
+            for b in batches:
+                sets = [shingles(t, width) for t in b["text"]]
+                yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).digest() for s in sets], "sig": [signature(s) if len(s) else b"" for s in sets]})
 
     return run
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i in range(0, len(b), 2000):
-            part = b.iloc[i : i + 2000]
-            k = keys(np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, SYMBOLS)).view(np.int64)
-            yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(part["id"].to_numpy(), SYMBOLS), "n": np.repeat(part["n"].to_numpy(), SYMBOLS)})
+    with tidy():
+        for b in batches:
+            for i in range(0, len(b), 2000):
+                part = b.iloc[i : i + 2000]
+                k = keys(np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, SYMBOLS)).view(np.int64)
+                yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(part["id"].to_numpy(), SYMBOLS), "n": np.repeat(part["n"].to_numpy(), SYMBOLS)})
 
 
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -95,10 +97,11 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t, width) for t in b["text"]]
-            own = [hashlib.md5(s.tobytes()).digest() == d for s, d in zip(sets, b["digest"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "items": [s.view(np.int64) for s in sets]})[own]
+        with tidy():
+            for b in batches:
+                sets = [shingles(t, width) for t in b["text"]]
+                own = [hashlib.md5(s.tobytes()).digest() == d for s, d in zip(sets, b["digest"], strict=True)]
+                yield pd.DataFrame({"id": b["id"], "items": [s.view(np.int64) for s in sets]})[own]
 
     return run
 

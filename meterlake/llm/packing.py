@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from meterlake.llm.shared import materialize
+from meterlake.llm.shared import materialize, tidy
 
 CAPACITY = 2048
 #: Salts that a length's pieces are dealt over before they are ranked.
@@ -57,9 +57,11 @@ class CachedBpe:
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file, self.exact, self.limit = public_tokenizers.path(f"{name}.json"), None, limit
 
-        class Cache(dict):
+        fast, pack = self.fast, self.pack
+
+        class Cache(dict):  # holds no reference to its owner, so that both go when the task ends
             def __missing__(cache, part: str) -> bytes:
-                found = cache[part] = self.pack(self.fast.encode_ordinary(" " + part))
+                found = cache[part] = pack(fast.encode_ordinary(" " + part))
                 return found
 
         self.cache = Cache()
@@ -91,15 +93,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     close = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = CachedBpe(tokenizer)
-        for b in batches:
-            out = []
-            for key, text in zip(b[id_col], b["__text"], strict=True):
-                ids = bpe.encode(text or "") + close
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                out += [(key, i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"])
+        with tidy():
+            bpe = CachedBpe(tokenizer)
+            for b in batches:
+                out = []
+                for key, text in zip(b[id_col], b["__text"], strict=True):
+                    ids = bpe.encode(text or "") + close
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                    out += [(key, i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"])
+            del bpe
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInPandas(run, schema)
 

@@ -7,8 +7,11 @@ vectorised form below, which hashes every word of a text with a handful of numpy
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +26,40 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return base
 
 
+def release() -> None:
+    """Give memory that earlier work left in this Python worker back: workers live on from stage to stage."""
+    import pyarrow as pa
+
+    _powers.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Around a task's work in Python: releases memory before and after."""
+    release()
+    try:
+        yield
+    finally:
+        release()
+
+
+def fraction(*columns: Column) -> Column:
+    """A hash of ``columns`` as a number from 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

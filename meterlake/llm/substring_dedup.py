@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.llm.shared import materialize, mix, rolling, word_hashes
+from meterlake.llm.shared import materialize, mix, rolling, tidy, word_hashes
 
 WINDOW = 50
 ROUNDS = 3
@@ -78,37 +78,40 @@ def filed_under(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        each = [np.unique(filed_under(word_hashes((text or "").encode())) & -2) for text in b["text"]]
-        yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), [len(x) for x in each]), "m": np.concatenate([*each, np.zeros(0, np.int64)])})
+    with tidy():
+        for b in batches:
+            each = [np.unique(filed_under(word_hashes((text or "").encode())) & -2) for text in b["text"]]
+            yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), [len(x) for x in each]), "m": np.concatenate([*each, np.zeros(0, np.int64)])})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i in range(0, len(b), 200):
-            parts = []
-            for k, t, text, shared in b.iloc[i : i + 200][["k", "t", "text", "shared"]].itertuples(index=False):
-                h = word_hashes((text or "").encode())
-                under, shared = filed_under(h), np.sort(np.asarray(shared, np.int64))
-                # the lowest bit of a shared symbol says whether it is hot
-                place = np.minimum(np.searchsorted(shared >> 1, under >> 1), len(shared) - 1)
-                s = np.flatnonzero(shared[place] >> 1 == under >> 1)
-                salt = np.where(shared[place[s]] & 1, 1 + k % SALTS, 0)
-                check = rolling(mix(h + np.uint64(77)), WINDOW)[s] >> np.uint64(32)
-                parts.append(pd.DataFrame({"w": rolling(h, WINDOW)[s].view(np.int64), "c": check.astype(np.int64), "salt": salt, "k": k, "t": t, "s": s}))
-            if parts:
-                yield pd.concat(parts)
+    with tidy():
+        for b in batches:
+            for i in range(0, len(b), 200):
+                parts = []
+                for k, t, text, shared in b.iloc[i : i + 200][["k", "t", "text", "shared"]].itertuples(index=False):
+                    h = word_hashes((text or "").encode())
+                    under, shared = filed_under(h), np.sort(np.asarray(shared, np.int64))
+                    # the lowest bit of a shared symbol says whether it is hot
+                    place = np.minimum(np.searchsorted(shared >> 1, under >> 1), len(shared) - 1)
+                    s = np.flatnonzero(shared[place] >> 1 == under >> 1)
+                    salt = np.where(shared[place[s]] & 1, 1 + k % SALTS, 0)
+                    check = rolling(mix(h + np.uint64(77)), WINDOW)[s] >> np.uint64(32)
+                    parts.append(pd.DataFrame({"w": rolling(h, WINDOW)[s].view(np.int64), "c": check.astype(np.int64), "salt": salt, "k": k, "t": t, "s": s}))
+                if parts:
+                    yield pd.concat(parts)
 
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted starts as ranges: first and last start of each run, flat."""
-    for b in batches:
-        out = []
-        for starts in b["starts"]:
-            s = np.unique(starts)
-            edge = np.flatnonzero(np.diff(s) > 1)
-            out.append(np.stack([s[np.append(0, edge + 1)], s[np.append(edge, len(s) - 1)]], axis=1).ravel())
-        yield b[["k", "t"]].assign(ranges=out)
+    with tidy():
+        for b in batches:
+            out = []
+            for starts in b["starts"]:
+                s = np.unique(starts)
+                edge = np.flatnonzero(np.diff(s) > 1)
+                out.append(np.stack([s[np.append(0, edge + 1)], s[np.append(edge, len(s) - 1)]], axis=1).ravel())
+            yield b[["k", "t"]].assign(ranges=out)
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
@@ -127,28 +130,26 @@ def repeats(keyed: DataFrame) -> DataFrame:
     return materialize(hits.groupBy("k", "t").agg(F.collect_list("s").alias("starts")).mapInPandas(_ranges, "k long, t long, ranges array<int>"))
 
 
-def _keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        kept, words, gone = [], [], []
-        for text, ranges in zip(b["__text"], b.pop("__ranges"), strict=True):
-            parts = (text or "").encode().split()
-            n, removed = len(parts), 0
-            if ranges is not None and len(ranges):
-                first, last = np.asarray(ranges).reshape(-1, 2).T
-                edge = np.bincount(first, minlength=n + 1) - np.bincount(last + WINDOW, minlength=n + 1)
-                stays = np.cumsum(edge[:n]) == 0
-                removed = n - int(stays.sum())
-                parts = [parts[i] for i in np.flatnonzero(stays)]
-            kept.append(b" ".join(parts).decode())
-            words.append(n)
-            gone.append(removed)
-        yield b.assign(kept_text=kept, n_words=words, n_removed=gone).drop(columns="__text")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: id, the columns named in ``keep``, kept_text (words joined by one space), n_words, n_removed."""
+def _keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    with tidy():
+        for texts, removals in batches:
+            out = []
+            for text, ranges in zip(texts, removals, strict=True):
+                parts = (text or "").encode().split()
+                n, removed = len(parts), 0
+                if ranges is not None and len(ranges):
+                    first, last = np.asarray(ranges).reshape(-1, 2).T
+                    edge = np.bincount(first, minlength=n + 1) - np.bincount(last + WINDOW, minlength=n + 1)
+                    stays = np.cumsum(edge[:n]) == 0
+                    removed = n - int(stays.sum())
+                    parts = [parts[i] for i in np.flatnonzero(stays)]
+                out.append((b" ".join(parts).decode(), n, removed))
+            yield pd.DataFrame(out, columns=["kept", "words", "removed"])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed")) -> DataFrame:
+    """Per row of ``docs``: id, the columns named in ``keep``, and under ``names`` the kept text (words joined by one space), its words before and those removed."""
     columns = [id_col, *[c for c in keep if c != id_col]]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
     rows, ids = docs.agg(F.count("*"), F.count_distinct(key)).first()
     # texts are told apart under one id only if ids repeat
@@ -156,5 +157,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     ranges = repeats(base.select(F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("__text").alias("text"))).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("ranges").alias("__ranges"))
     documents, numbers = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("__ranges")), F.lit(0))).first()
     small = documents <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS
-    joined = base.join(F.broadcast(ranges) if small else ranges, ["__k", "__t"], "left").select(*columns, "__text", "__ranges")
-    return joined.mapInPandas(_keep, f"{out}, kept_text string, n_words long, n_removed long")
+    joined = base.join(F.broadcast(ranges) if small else ranges, ["__k", "__t"], "left")
+    cut = F.pandas_udf(_keep, "kept string, words long, removed long").asNondeterministic()  # asked once a row, wherever it is used
+    found = joined.select(*columns, cut("__text", "__ranges").alias("__cut"))
+    return found.select(*columns, *[F.col(f"__cut.{c}").alias(n) for c, n in zip(("kept", "words", "removed"), names, strict=True)])

@@ -4,7 +4,7 @@ A text's features are the distinct hashes (2^20 places) of its words, of the fir
 five bytes of its words, of its neighbouring word pairs and of its pairs with one word between. FTRL-proximal
 keeps a learning rate per coordinate and an L1 penalty, so that few weights differ from zero;
 these few are broadcast. The model is fitted in one task on at most ``SAMPLE_TOXIC`` +
-``SAMPLE_CLEAN`` labelled rows, chosen by a hash of the id; the sample's share of toxic rows is
+``SAMPLE_CLEAN`` labelled rows, chosen by a hash of the id below each label's share, without a sort; the sample's share of toxic rows is
 corrected for by weights.
 
 Edge cases: null and empty texts get the score of the bias alone; texts are read whole; a row
@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from meterlake.llm.shared import mix, rolling, word_hashes, word_spans
+from meterlake.llm.shared import fraction, mix, release, rolling, tidy, word_hashes, word_spans
 
 #: Bounds of the labelled sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -72,14 +71,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on rows of ``docs`` labelled in ``labels``; returns {"at": places, "w": weights}, bias last."""
     marks = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().where("y in (0, 1)").collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    picked = marks.where("y in (0, 1)").withColumn("k", F.row_number().over(order)).where(F.expr(f"k <= if(y = 1, {SAMPLE_TOXIC}, {SAMPLE_CLEAN})")).select("id", "y")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    bounds = {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}
+    below = [1.0 if counts.get(y, 0) <= bounds[y] else 1.1 * bounds[y] / counts[y] for y in (0, 1)]
+    picked = marks.where("y in (0, 1)").withColumn("h", fraction(F.col("id"))).where(F.col("h") < F.when(F.col("y") == 1, below[1]).otherwise(below[0]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
     share = [max(1.0, counts.get(0, 0) / SAMPLE_CLEAN), max(1.0, counts.get(1, 0) / SAMPLE_TOXIC)]
     weight = [x / min(share) for x in share]
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "text"]).drop_duplicates("id")
+        release()
+        group = group.sort_values(["h", "id"])
+        group = pd.concat([group[group["y"] == y].head(n) for y, n in bounds.items()])
         model, order = Ftrl(), np.random.default_rng(11)
         items = [(np.append(np.unique(features(t)), _BIAS), y) for t, y in zip(group["text"], group["y"], strict=True)]
         for _ in range(epochs):
@@ -100,15 +102,16 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = np.zeros(_BIAS + 1)
-        w[shared.value["at"]] = shared.value["w"]
-        known = w != 0
-        known[_BIAS] = False
-        for b in batches:
-            total = []
-            for text in b["__text"]:
-                at = features(text)
-                total.append(w[_BIAS] + w[np.unique(at[known[at]])].sum())
-            yield pd.DataFrame({id_col: b[id_col], "score": 1 / (1 + np.exp(-np.clip(np.array(total, float), -35, 35)))})
+        with tidy():
+            w = np.zeros(_BIAS + 1)
+            w[shared.value["at"]] = shared.value["w"]
+            known = w != 0
+            known[_BIAS] = False
+            for b in batches:
+                total = []
+                for text in b["__text"]:
+                    at = features(text)
+                    total.append(w[_BIAS] + w[np.unique(at[known[at]])].sum())
+                yield pd.DataFrame({id_col: b[id_col], "score": 1 / (1 + np.exp(-np.clip(np.array(total, float), -35, 35)))})
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInPandas(run, schema)
