@@ -18,8 +18,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = language_id.fit(docs)
     if not model["langs"]:
         return docs
-    found = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return found.where(F.col("__lang") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("x"))
     stay = keyed.join(least.select("x.__key"), "__key", "left_semi")
     rows, keys = keyed.agg(F.count("*"), F.count_distinct("__key")).first()
-    return (stay if rows == keys else stay.dropDuplicates(["__key"])).select(*docs.columns)
+    # of rows repeated under one id and text the least is taken, the same one whenever it is computed
+    return stay.select(*docs.columns) if rows == keys else stay.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut; documents left empty by it go."""
-    cut = substring_dedup.dedup(docs, keep=tuple(docs.columns)).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    cut = substring_dedup.dedup(docs, keep=tuple(docs.columns), names=("__kept", "__words", "__removed")).where("__removed = 0 or __removed < __words")
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
+    size = F.when(F.col("__removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*[{"text": text, "n_chars": size}.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
