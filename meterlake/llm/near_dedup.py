@@ -9,7 +9,8 @@ about 2.8 of a million pairs (binomial tail).
 
 Keys are shared by whole groups of copies, whose pairs are never all written. In each round the members of a
 key meet only a pivot, candidates are confirmed on the full sets, and links become components. From then
-on only keys whose members are still in different components go on, with a new pivot in each of ``ROUNDS`` rounds.
+on only keys whose members are still in different components go on, with a new pivot in each of ``ROUNDS`` rounds,
+the first of them in an order that all keys of a round share, so that the same two documents meet once and not under many keys.
 What is left is compared exhaustively, but under rare shingles instead of keys: the shingles of every open
 document are put in one order, rarest first, and a pair that is similar enough has its first common shingle
 so early in both sets that enough shingles follow for the overlap it needs. Pairs across components that meet
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     for step in range(ROUNDS):
         rooted = _rooted(open_keys, roots)
         open_keys = materialize(rooted.join(_several(rooted).select("key"), "key"))
-        pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(step)), F.struct("id", "n", "root").alias("p"))).alias("x")).select("key", "x.p")
+        pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)), F.struct("id", "n", "root").alias("p"))).alias("x")).select("key", "x.p")
         pairs = open_keys.join(pivot, "key").where("root <> p.root")
         pairs = pairs.selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
