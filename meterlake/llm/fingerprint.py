@@ -7,12 +7,13 @@ much longer one can be told. A text with few hashes there also keeps its ``LEAST
 complete. A text of one to four words is one shingle; a text without words has an empty sketch.
 
 :func:`with_next` gives each document the one after it in ascending order without a global sort in
-one task: ids are dealt into ranges of about ``RANGE_ROWS`` rows by arithmetic on the id (its least
-and greatest value and count are three numbers), a window inside a range finds the next row, and the
-first rows of the ranges, one row each, serve the ranges before them.
+one task: rows are dealt into at most ``MOST_RANGES`` ranges of about equal size, whose bounds are approximate
+quantiles of the ids (the only thing that is collected), so neither an outlying id nor a skewed order matters.
+An id that fills several ranges (and so equals several bounds), and null ids, are split by a hash of the text. A window inside a range finds
+the next row, and the first rows of the ranges, one row each, serve the ranges before them.
 
 Edge cases: null texts count as empty; two empty sketches have likeness 1, an empty and a filled one 0;
-rows are ordered by id, then text, so a repeated row follows itself; null ids come first; the only
+rows are ordered by id, then a hash of the text, then text, so a repeated row follows itself; null ids come first; the only
 row of a table follows itself; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -22,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.llm.shared import lower_ascii, words_of
+from meterlake.llm.shared import fraction, lower_ascii, words_of
 
 WIDTH = 5
 #: One hash in FRACTION is kept.
 FRACTION = 8
 LEAST = 16
-RANGE_ROWS = 1024
+#: Rows of a range, unless that makes too many ranges.
+RANGE_ROWS, MOST_RANGES = 1024, 4096
 _LIMIT = -(1 << 63) + (1 << 64) // FRACTION
 _TOP = (1 << 63) - 1
 
@@ -75,27 +77,40 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def _constant(longs: list[int]) -> Column:
+    """A constant array of longs."""
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+
+def in_ranges(df: DataFrame) -> DataFrame:
+    """Adds ``at`` (a hash of text from 0 to 1) and ``range`` to rows id, text: ranges ascend with (id, at), nulls first."""
+    rows, nulls = df.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    n = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
+    found = df.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * max(n, 100))).first()[0] or [0]
+    bounds = sorted(found)  # fewer than MOST_RANGES
+    times, many = _constant([bounds.count(b) for b in bounds]), _constant(bounds)
+    # the number of bounds below the id, by bisection
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda b, step: b + F.when((b + step <= len(bounds)) & (F.get(many, b + step - 1) < F.col("id")), step).otherwise(0))
+    df = df.withColumn("at", fraction(F.col("text"))).withColumn("below", below)
+    here = F.when(F.get(many, "below") == F.col("id"), F.get(times, "below")).otherwise(1)
+    parts = -(-nulls * n // max(1, rows))
+    return df.withColumn("range", F.when(F.col("id").isNull(), F.floor(F.col("at") * parts) - parts).otherwise(F.col("below") + F.floor(F.col("at") * here))).drop("below")
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, text, sketch, next_text, next_sketch; the last row is followed by the first."""
-    low, high, rows = df.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // max(1, rows // RANGE_ROWS)))
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("range", F.coalesce(F.floor((F.col("id") - low) / width), F.lit(-1)).cast("long"))
-    in_range = Window.partitionBy("range").orderBy(F.asc_nulls_first("id"), "text")
-
-    ahead = F.lead(F.struct("text", "sketch")).over(in_range)
+    base = in_ranges(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    in_order = Window.partitionBy("range").orderBy(F.asc_nulls_first("id"), "at", "text")
+    ahead = F.lead(F.struct("text", "sketch")).over(in_order)
     rows = with_sketch(base, "text", "sketch").withColumn("ahead", ahead)
 
-    firsts = base.withColumn("n", F.row_number().over(in_range)).where("n = 1").drop("n", "id")
-    # the next range that has rows: looked up inside blocks of ranges, then among the blocks
-    block = F.floor(F.col("range") / RANGE_ROWS)
-    ranges = base.select("range").distinct().withColumn("block", block)
-    blocks = ranges.groupBy("block").agg(F.min("range").alias("first"))
-    blocks = blocks.withColumn("one", F.lit(0)).withColumn("then", F.lead("first").over(Window.partitionBy("one").orderBy("block")))
-    start = blocks.groupBy("one").agg(F.min("first").alias("start"))
-    blocks = blocks.join(start, "one").select("block", F.coalesce("then", "start").alias("then"))
-    follow = ranges.withColumn("after", F.lead("range").over(Window.partitionBy("block").orderBy("range"))).join(blocks, "block").select("range", F.coalesce("after", "then").alias("after"))
+    # the first row of each range is the least by (id, at, text), nulls being least
+    firsts = base.groupBy("range").agg(F.min(F.struct("id", "at", "text")).alias("x")).select("range", "x.text")
+    # at most MOST_RANGES numbers, twice that with nulls: each range that has rows, and the one after it
+    ranges = base.select("range").distinct().withColumn("one", F.lit(0))
+    ring = Window.partitionBy("one").orderBy("range")
+    follow = ranges.select("range", F.coalesce(F.lead("range").over(ring), F.min("range").over(ring)).alias("after"))
     edges = with_sketch(firsts, "text", "sketch").select(F.col("range").alias("after"), F.struct("text", "sketch").alias("edge")).join(follow, "after").select("range", "edge")
 
     whole = rows.join(edges, "range", "left").withColumn("ahead", F.coalesce("ahead", "edge"))

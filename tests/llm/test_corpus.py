@@ -192,3 +192,34 @@ def test_lm_score_base_and_gain(docs):
     by = {r.doc_id: r for r in got}
     assert by[6].n_tokens == by[7].n_tokens == 1 and by[3].score > by[3].base_score
     assert lm_score.score(empty(docs), F.lit(True)).count() == 0
+
+
+def test_fingerprints_order_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 8)
+    ids = [-(1 << 62) - 5, (1 << 62) + 9, -(1 << 63), (1 << 63) - 1, None, None, *range(100), *[7] * 60]
+    rows = [(k, passage(i, 12) if i % 5 else "") for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.with_next(df).select("doc_id", "text", "next_text").collect()
+    dealt = fingerprint.in_ranges(df.withColumnRenamed("doc_id", "id")).groupBy("range").count().collect()
+    assert len(dealt) > 10 and max(r["count"] for r in dealt) < 40
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got) == sorted((k is not None, k or 0, t) for k, t in rows)
+    single = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id != 7}
+    order = sorted(single)
+    for a, b in zip(order, order[1:], strict=False):
+        if {a, b} & {6, 8} == set() and single[b].doc_id == b:
+            assert single[a].next_text == single[b].text
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+
+
+def test_fingerprint_columns_as_plain_python(spark):
+    base = passage(5, 90)
+    texts = {3: base, 9: base + " end", 20: "é" * 37 + " 😀 x", 21: "", 30: None, 44: passage(8, 400), 50: "ab"}
+    spark_rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = fingerprint.with_next(spark_rows).withColumn("edited", fingerprint.edited_text(F.col("text"), F.col("next_text")))
+    got = {r.doc_id: r for r in rows.select("doc_id", "edited", fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("like")).collect()}
+    order = sorted(texts)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        x, y = texts[a] or "", texts[b] or ""
+        cut = len(x) // 4
+        assert got[a].edited == x[: len(x) - cut] + y[:cut]
+    assert got[3].like > 0.8 and got[9].like == 0.0 and got[21].like == 1.0
