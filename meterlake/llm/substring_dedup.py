@@ -35,7 +35,7 @@ ROUNDS = 3
 #: Words at a window's two ends whose symbols may depend on its surroundings.
 LEFT, RIGHT = 2**ROUNDS - 1, 2 * (2**ROUNDS - 1)
 #: A symbol in more documents than this is compared in salted parts.
-HOT, SALTS = 20_000, 64
+HOT, SALTS = 1_000, 64
 #: Ranges to remove are broadcast up to so many documents and numbers (about 10 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 2_000_000
 
