@@ -4,11 +4,12 @@ A turn is written ``[INST]role[/INST]text</s>``; a window begins with ``<s>``. I
 texts a backslash is doubled and each control string gets a backslash after its first character, so
 no control string is left in them and dropping each escaping backslash gives the text back.
 
-A turn's tokens are counted as a quarter of its formatted characters, rounded up. Prefix sums of the
-tokens choose turn-aligned spans: a turn belongs to the span that its first token falls in, spans
-being ``budget`` less the system turn's and the history's allowance, halved, wide; so a window keeps
-to its budget unless a single turn exceeds half of what is left, and such a turn is never cut. Each
-window repeats the system turn (a first turn whose role is ``system``) and the last turns before it
+A turn's tokens are counted as a quarter of its formatted characters, rounded up. A window has room for
+``budget`` tokens less the system turn's and the history's allowance. Prefix sums of the tokens choose turn-aligned spans:
+a turn of more than half the room is a span of its own; between such turns, a turn belongs to the span, half the room
+wide, that its first token falls in. A window thus never exceeds its budget, but for a single turn that does not fit in
+the room: it is never cut, and gets no history. Each
+window repeats the system turn (a first turn whose role is ``system``) and the last turns of the window before it
 that fit in ``history`` tokens; repeated turns are masked: only texts of assistant turns that are new
 in a window are in its loss spans (offset and length in code points).
 
@@ -53,13 +54,19 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     turns = turns.withColumn("i", F.row_number().over(in_order)).withColumn("upto", F.sum("cost").over(so_far))
     system = F.when((F.col("i") == 1) & (F.col("role") == "system"), F.struct("head", "body", "cost"))
     turns = turns.withColumn("system", F.first(system, ignorenulls=True).over(whole))
-    room = F.greatest(F.lit(1), F.floor((budget - history - F.coalesce(F.col("system.cost"), F.lit(0))) / 2))
-    turns = turns.withColumn("span", F.floor((F.col("upto") - F.col("cost")) / room))
-    turns = turns.withColumn("window", F.dense_rank().over(Window.partitionBy("conv").orderBy("span")))
-    # a turn recurs in the next window if all from it to the end of its own window fit in the history
-    last = F.max("upto").over(Window.partitionBy("conv", "window"))
-    final = F.max("window").over(Window.partitionBy("conv"))
-    recurs = (last - F.col("upto") + F.col("cost") <= history) & (F.col("window") < final) & ~((F.col("i") == 1) & F.col("system").isNotNull())
+    room = F.greatest(F.lit(2), budget - history - F.coalesce(F.col("system.cost"), F.lit(0)))
+    # the system turn is counted apart, so it does not make its window's span larger
+    new = F.when((F.col("i") == 1) & F.col("system").isNotNull(), 0).otherwise(F.col("cost"))
+    turns = turns.withColumn("room", room).withColumn("new", new).withColumn("large", (2 * F.col("new") > F.col("room")).cast("int"))
+    turns = turns.withColumn("part", 2 * F.sum("large").over(so_far) - F.col("large"))
+    before = F.sum("new").over(Window.partitionBy("conv", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("new")
+    turns = turns.withColumn("span", F.when(F.col("large") == 1, F.lit(0)).otherwise(F.floor(2 * before / F.col("room"))))
+    turns = turns.withColumn("window", F.dense_rank().over(Window.partitionBy("conv").orderBy("part", "span")))
+    # a turn recurs in the next window if all from it to the end of its own window fit in the history, and that window has room for it
+    own = Window.partitionBy("conv", "window")
+    turns = turns.withColumn("last", F.max("upto").over(own)).withColumn("filled", F.sum("new").over(own))
+    following = F.max("filled").over(Window.partitionBy("conv").orderBy("window").rangeBetween(1, 1))
+    recurs = (F.col("last") - F.col("upto") + F.col("cost") <= history) & (following <= F.col("room")) & ~((F.col("i") == 1) & F.col("system").isNotNull())
     turns = turns.withColumn("into", F.when(recurs, F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("again")), F.struct((F.col("window") + 1).alias("w"), F.lit(True).alias("again")))).otherwise(F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("again")))))
     rows = turns.select("conv", "i", "head", "body", "role", "system", F.explode("into").alias("x")).select("conv", F.col("x.w").alias("window"), "i", F.col("x.again").alias("again"), "head", "body", "role", "system")
     grouped = rows.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("i", "again", "head", "body", "role"))).alias("items"), F.first("system").alias("system"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterlake.llm import chat_format, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity, url_filter
+from meterlake.llm.oracle import ORACLE_SQL  # noqa: F401
 from meterlake.llm.shared import id_bucket
 
 
@@ -97,4 +98,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
