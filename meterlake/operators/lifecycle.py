@@ -56,8 +56,9 @@ def canonical_row(fields: dict[str, str]) -> Column:
         c = F.col(name)
         if kind == "number":
             return F.coalesce(c.cast("string"), F.lit("null"))
-        quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-        return F.coalesce(quoted, F.lit("null"))
+        # a text in an array of its own is written with all that JSON escapes, then taken out of the brackets
+        inside = F.to_json(F.array(c.cast("string")))
+        return F.when(c.isNull(), "null").otherwise(F.substring(inside, F.lit(2), F.length(inside) - 2))
 
     parts = [F.concat(F.lit(f'"{n}":'), value(n, k)) for n, k in sorted(fields.items())]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Provider prefixes under which a model's price may be listed.
-PREFIXES = ("openai", "anthropic", "google", "deepseek", "qwen", "moonshotai", "z-ai")
+PREFIXES = ("openai", "anthropic", "google", "meta-llama", "qwen", "deepseek", "mistralai")
 QUALITIES = ("exact_price", "estimated_price", "unknown_price")
 RATES = ["input_rate", "output_rate", "cache_read_rate", "cache_write_rate"]
 
 
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Rounds half up; a hair is added so that a sum that ends in 5 rounds alike in whatever order it was added."""
+    return F.round(c + 1e-10, digits)
+
+
 def price_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^~", ""), "^openrouter/", "")
 
@@ -26,10 +31,10 @@ def price_map(remote: DataFrame, custom: DataFrame, aliases: DataFrame) -> DataF
 
 
 def candidates(model: Column) -> Column:
-    """The model itself, then without its provider, then under each known provider."""
+    """The model itself, then without its provider, then under each known provider: whole names first, bare ones after."""
     name = price_name(model)
     bare = F.element_at(F.split(name, "/"), -1)
-    return F.array(name, bare, *[F.concat(F.lit(f"{p}/"), bare) for p in PREFIXES])
+    return F.array(name, bare, *[F.concat(F.lit(f"{p}/"), n) for n in (name, bare) for p in PREFIXES])
 
 
 def with_cost(usage: DataFrame, prices: DataFrame, model_col: str = "model", digits: int = 6) -> DataFrame:
@@ -52,7 +57,7 @@ def cost_summary(costed: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     """Known cost (null if every row lacks a price), tokens without a price, worst quality."""
     worst = F.max(F.when(F.col("cost_quality") == QUALITIES[2], 2).when(F.col("cost_quality") == QUALITIES[1], 1).otherwise(0))
     return costed.groupBy(*keys).agg(
-        F.round(F.sum("cost"), digits).alias("cost"),
+        rounded(F.sum("cost"), digits).alias("cost"),
         F.coalesce(F.sum(F.when(F.col("cost").isNull(), F.col("total_tokens"))), F.lit(0)).alias("missing_tokens"),
         F.element_at(F.array(*map(F.lit, QUALITIES)), worst + 1).alias("cost_quality"),
     )

@@ -21,12 +21,15 @@ _TOTAL = "CAST(sum(total_tokens) AS BIGINT) AS total_tokens"
 _IN_MONTH = f"day BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}'"
 
 
-def query(sql: str, hourly: bool = False):
-    """Register a function of (daily, hourly, people) under its own name."""
+def query(sql: str, hourly: bool = False, span=None, lean: bool = False):
+    """Register a function of (daily, hourly, people) under its own name.
+
+    ``span`` limits what is read of the daily facts to some days, ``lean`` leaves the model out (and the join that finds it).
+    """
 
     def register(f):
         def run(spark, sf_dir: str) -> DataFrame:
-            return f(S.daily_facts(spark, sf_dir), S.hourly_facts(spark, sf_dir), S.participants(spark, sf_dir))
+            return f(S.daily_facts(spark, sf_dir, span, not lean), S.hourly_facts(spark, sf_dir), S.participants(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         ORACLE_SQL[f.__name__] = f"WITH {S.SQL_HOURLY if hourly else S.SQL_DAILY} {sql}"
@@ -45,12 +48,12 @@ _BOARD = f"""SELECT b.participant_id, nickname, {', '.join(S.TOKENS)}, source_qu
  FROM u WHERE {{where}} GROUP BY 1) b JOIN p USING (participant_id)"""
 
 
-@query(_BOARD.format(where=_IN_MONTH))
+@query(_BOARD.format(where=_IN_MONTH), span=MONTH, lean=True)
 def public_leaderboard(u, h, p):
     return A.leaderboard(A.in_range(u, MONTH), p)
 
 
-@query(_BOARD.format(where="TRUE"))
+@query(_BOARD.format(where="TRUE"), lean=True)
 def leaderboard_all(u, h, p):
     return A.leaderboard(u, p)
 
@@ -252,9 +255,15 @@ _COSTED = """, n AS (SELECT range AS id FROM range(1,56)),
  CASE kind WHEN 'n' THEN 2 WHEN 'e' THEN 1 ELSE 0 END AS q FROM r) """
 
 
-@query(_COSTED + "SELECT model, round(sum(cost),6) AS cost, CAST(coalesce(sum(CASE WHEN cost IS NULL THEN total_tokens END),0) AS BIGINT) AS missing_tokens, CASE max(q) WHEN 2 THEN 'unknown_price' WHEN 1 THEN 'estimated_price' ELSE 'exact_price' END AS cost_quality FROM c GROUP BY 1")
+def costed_sql(key: str = "", where: str = "") -> str:
+    """Costs of tokens that are summed by model (and a key) before they are priced."""
+    keys = f"{key}, model" if key else "model"
+    return f", a AS (SELECT {keys}, {_SIX} FROM u {where} GROUP BY ALL)" + _COSTED.replace(" FROM u)", " FROM a)")
+
+
+@query(costed_sql() + "SELECT model, round(sum(cost)+1e-10::DOUBLE,6) AS cost, CAST(coalesce(sum(CASE WHEN cost IS NULL THEN total_tokens END),0) AS BIGINT) AS missing_tokens, CASE max(q) WHEN 2 THEN 'unknown_price' WHEN 1 THEN 'estimated_price' ELSE 'exact_price' END AS cost_quality FROM c GROUP BY 1")
 def cost_by_model(u, h, p):
-    return C.cost_summary(_costed(u), "model")
+    return C.cost_summary(_costed(A.totals_by(u, "model")), "model")
 
 
 @query(_COSTED + f"SELECT model, {_TOTAL}, count(*) AS rows, max(day) AS last_seen FROM c WHERE cost IS NULL GROUP BY 1")

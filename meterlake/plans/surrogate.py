@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +12,22 @@ EVENT_DAY = date(2024, 1, 30)
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens"]
 
 
-def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+def daily_facts(spark: SparkSession, sf_dir: str, span: tuple[date, date] | None = None, models: bool = True) -> DataFrame:
+    """Facts of all days, or of some: then the bounds reach the scan. Without ``models`` nothing is joined; every line has its part."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    u = line.join(part, line.l_partkey == part.p_partkey).select(
+    if span is not None:
+        line = line.where((F.col("l_shipdate") >= F.lit(datetime.combine(span[0], time.min)).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(datetime.combine(span[1] + timedelta(days=1), time.min)).cast("timestamp_ntz")))
+    if models:
+        part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+        line = line.join(part, line.l_partkey == part.p_partkey)
+    u = line.select(
         F.to_date("l_shipdate").alias("day"),
         F.col("l_suppkey").cast("long").alias("participant_id"),
         (F.col("l_suppkey") * 10 + F.col("l_linenumber") % 3).cast("long").alias("device_id"),
         F.col("l_returnflag").alias("tool_code"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("provider_id"),
         (F.col("l_orderkey") % 40).cast("long").alias("workdir_id"),
-        F.col("p_brand").alias("model"),
+        *([F.col("p_brand").alias("model")] if models else []),
         (F.col("l_quantity").cast("long") * 100).alias("input_tokens"),
         F.floor("l_extendedprice").cast("long").alias("output_tokens"),
         (F.round(F.col("l_discount") * 100).cast("long") * 500).alias("cache_read_tokens"),

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from meterlake.plans.metric_queries import ORACLE_SQL, QUERIES
+from meterlake.plans.all_queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
