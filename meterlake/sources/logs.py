@@ -16,8 +16,10 @@ EVENT = ["provider_id", "session_id", "ts", "workdir", "model", "input_tokens",
 
 def json_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
     """Rows file, line (ascending in the file), r (the parsed record) of all files below ``path``."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    # a split of a file is read in order by one task, so its lines are told apart by its offset and the task's row number
+    placed = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    lines = placed.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) - 1)
     # a record in a column that cannot hold it is null there; a line that is no JSON object is left out
     parsed = lines.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")).select("file", "line", F.from_json("raw", schema).alias("r"))
     return parsed.where("r is not null")
@@ -82,6 +84,21 @@ def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
     return finished(split, "codex_local")
 
 
+def compacted_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Usage records that wait for a compaction: they count once a ``compacted`` row names their response, unless the next cumulative
+    count of the session is just their usage, which then has them already. Columns file, session_id, response_id and counts."""
+    counts = _USAGE.replace(" bigint", ":bigint").replace(", ", ",")
+    schema = f"type string, payload struct<id:string,type:string,response_id:string,compaction_response_id:string,usage:struct<{counts}>,info:struct<last_token_usage:struct<{counts}>>>"
+    r = json_lines(spark, path, schema).select("file", "line", "r.*")
+    r = r.withColumn("session_id", fill_down(F.when(F.col("type") == "session_meta", F.col("payload.id"))))
+    following = F.first("payload.info.last_token_usage", ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing))
+    records = r.withColumn("following", following).where("type = 'token_usage_record' and payload.response_id is not null")
+    named = r.where("type = 'compacted'").select("file", F.col("payload.compaction_response_id").alias("response_id")).where("response_id is not null").distinct()
+    same = F.coalesce((F.col("payload.usage.input_tokens") == F.col("following.input_tokens")) & (F.col("payload.usage.output_tokens") == F.col("following.output_tokens")), F.lit(False))
+    u = "payload.usage"
+    return records.where(~same).select("file", "session_id", F.col("payload.response_id").alias("response_id"), number(F.col(f"{u}.input_tokens")).alias("input_tokens"), number(F.col(f"{u}.output_tokens")).alias("output_tokens"), number(F.col(f"{u}.cached_input_tokens")).alias("cache_read_tokens")).join(named, ["file", "response_id"], "left_semi")
+
+
 def message_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session logs of messages: the last row of a message id counts, advisor iterations are events of their own."""
     usage = "input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint"

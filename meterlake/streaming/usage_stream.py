@@ -27,10 +27,17 @@ def bursts(events: DataFrame, key: str, gap: str = "1 second", late_by: str = "1
     return out.select(F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), key, "events", "total_tokens")
 
 
-def replace_days(events: DataFrame, target: str, checkpoint: str):
-    """Write each batch's days over those of ``target`` (partitioned by day): running it again changes nothing."""
+def store_days(events: DataFrame, target: str, checkpoint: str):
+    """Write each batch into parts of ``target`` of its own, by day and batch: a batch that is written again replaces itself
+    and nothing else, so a day may come in any number of batches."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_snapshots(rows: DataFrame, scope: list[str], version: str) -> DataFrame:
+    """Of snapshots that came for a scope the newest one counts, whole; its rows may be in several batches."""
+    newest = rows.groupBy(*scope).agg(F.max(version).alias("__newest"))
+    return rows.join(newest, scope).where(F.col(version) == F.col("__newest")).drop("__newest")
