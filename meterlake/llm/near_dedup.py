@@ -1,20 +1,19 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
 A document is the set of its distinct word shingles. Documents with equal sets are put together first.
-A signature has ``SYMBOLS`` MinHash values of 16 bits; two documents are candidates if at most
-``DISTANCE`` of them differ. By pigeonhole, cut into ``CHUNKS`` > DISTANCE / 2 chunks, such a pair has
+A signature has ``SYMBOLS`` MinHash values of 16 bits; all documents of which at most
+``DISTANCE`` differ are candidates. By pigeonhole, cut into ``CHUNKS`` > DISTANCE / 2 chunks, such a pair has
 a chunk with one error at most; each chunk is filed once for each place the error may be in, so every pair
 within the distance meets under a key. At a similarity of 0.8 more than DISTANCE symbols differ in
 about 2.8 of a million pairs (binomial tail).
 
 Keys are shared by whole groups of copies, whose pairs are never all written. In each round the members of a
 key meet only a pivot, candidates are confirmed on the full sets, and links become components. From then
-on only keys whose members are still in different components go on, with a new pivot in each of ``ROUNDS`` rounds,
-the first of them in an order that all keys of a round share, so that the same two documents meet once and not under many keys.
+on only keys whose members are still in different components go on, with a new pivot in each of ``ROUNDS`` rounds.
 What is left is compared exhaustively, but under rare shingles instead of keys: the shingles of every open
 document are put in one order, rarest first, and a pair that is similar enough has its first common shingle
 so early in both sets that enough shingles follow for the overlap it needs. Pairs across components that meet
-there are compared, if within the signature distance; such pairs also share a key, so this loses none of them.
+there are compared; this loses no pair that shares a key.
 Nothing is capped.
 
 Edge cases: null, empty and wordless texts have an empty set and no link; fewer words than a shingle are one
@@ -91,11 +90,6 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(part["id"].to_numpy(), SYMBOLS), "n": np.repeat(part["n"].to_numpy(), SYMBOLS)})
 
 
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, SYMBOLS) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
-
-
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with tidy():
@@ -119,16 +113,12 @@ class _Search:
         return materialize(texts.mapInPandas(_sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
 
     def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """Of distinct pairs (a, b, na, nb) those within the signature distance whose sets (made here if not given) are alike."""
+        """Of distinct pairs (a, b, na, nb) those whose sets (made here if not given) are alike."""
         p = self.percent
         sized = pairs.where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b", "na", "nb")
-        sig = self.reps.select("id", "sig")
-        distance = F.pandas_udf(_distance, "int")
-        near = sized.join(sig.selectExpr("id as a", "sig as sa"), "a").join(sig.selectExpr("id as b", "sig as sb"), "b").where(distance("sa", "sb") <= DISTANCE).select("a", "b", "na", "nb")
-        near = materialize(near)
         if sets is None:
-            sets = self.sets(near.selectExpr("a as id").union(near.selectExpr("b as id")).distinct())
-        both = near.join(sets.selectExpr("id as a", "items as xa"), "a").join(sets.selectExpr("id as b", "items as xb"), "b")
+            sets = self.sets(sized.selectExpr("a as id").union(sized.selectExpr("b as id")).distinct())
+        both = sized.join(sets.selectExpr("id as a", "items as xa"), "a").join(sets.selectExpr("id as b", "items as xb"), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         return materialize(both.withColumn("c", common).where(f"100 * c >= {p} * (na + nb - c)").select("a", "b"))
 
@@ -188,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     for step in range(ROUNDS):
         rooted = _rooted(open_keys, roots)
         open_keys = materialize(rooted.join(_several(rooted).select("key"), "key"))
-        pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)), F.struct("id", "n", "root").alias("p"))).alias("x")).select("key", "x.p")
+        pivot = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(step)), F.struct("id", "n", "root").alias("p"))).alias("x")).select("key", "x.p")
         pairs = open_keys.join(pivot, "key").where("root <> p.root")
         pairs = pairs.selectExpr("least(id, p.id) as a", "greatest(id, p.id) as b", "if(id < p.id, n, p.n) as na", "if(id < p.id, p.n, n) as nb")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
