@@ -22,7 +22,7 @@ def db():
 def text(name: str, v) -> str:
     if pd.isna(v):
         return ""
-    if name.endswith(("day", "month", "start", "seen")) and not isinstance(v, (int, str)):
+    if name.endswith(("day", "month", "start", "seen", "week")) and not isinstance(v, (int, str)):
         return str(pd.Timestamp(v).date())
     return f"{v:.3f}" if isinstance(v, float) else str(v)
 
