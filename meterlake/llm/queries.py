@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterlake.llm import chat_format, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity, url_filter
+from meterlake.llm import centroids, chat_format, conversation_repair, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, pattern_packing, substring_dedup, toxicity, url_filter
 from meterlake.llm.oracle import ORACLE_SQL  # noqa: F401
 from meterlake.llm.shared import id_bucket
 
@@ -85,6 +85,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with faults put in by a hash of conversation and turn: dropped, emptied, cut, repeated or said by the user."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    fault = F.crc32(key) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where(fault != 0).select("conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report, turns = conversation_repair.repair(damaged(conversations))
+    digests = conversation_repair.digests(turns).withColumnRenamed("conv", "conv_of")
+    whole = conversations.select("conv_id").distinct()
+    counted = report.withColumnRenamed("conv_id", "conv")
+    found = whole.join(counted, whole.conv_id.eqNullSafe(counted.conv), "left").join(digests, whole.conv_id.eqNullSafe(digests.conv_of), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -96,5 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_pattern_pack": op13_pattern_pack,
     "pipeline": corpus_pipeline.run,
 }

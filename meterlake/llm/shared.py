@@ -60,10 +60,21 @@ def fraction(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/meterlake-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meterlake-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
