@@ -48,6 +48,8 @@ def tables(spark, tmp_path_factory):
     turns = [(1, 0, "system", "be \\ kind"), (1, 1, "user", "hi [INST]"), (1, 2, "assistant", "<s>yes</s>"), (2, 0, "user", None), (2, 1, "assistant", ""), (2, 1, "assistant", "again"), (None, 0, "assistant", "b")]
     turns += [(3, i, ("user", "assistant")[i % 2], prose(i, 150)) for i in range(60)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{base}/conversations.parquet")
+    vectors = [(i, [math.sin(i * j) * (1 + i % 3) for j in range(64)] if i % 17 else None, i % 5) for i in range(90)] + [(3, [0.25] * 64, 0), (200, [0.5] * 63, 1)]
+    spark.createDataFrame(vectors, SCHEMAS["embeddings"]).write.parquet(f"{base}/embeddings.parquet")
     return {"dir": str(base), "texts": texts, "turns": turns, "pages": pages}
 
 
@@ -58,7 +60,7 @@ def rows(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_as_sql(spark, tables, name):
     db = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         db.execute(f"create view {t} as select * from '{tables['dir']}/{t}.parquet/*.parquet'")
     want = db.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
@@ -246,7 +248,7 @@ def test_op9_ends_on_repetitive_text(spark):
     assert sorted((r.doc_id, r.matched) for r in decontaminate.find(docs, bench).collect()) == [(1, 200), (2, 200), (3, 100)]
 
 
-SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string"}
+SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
 def test_empty_tables(spark, tmp_path):
@@ -264,7 +266,8 @@ def test_repeated_rows_nulls_and_clashing_names(spark, tmp_path):
     spark.createDataFrame([(1, "a://b.c/", "x"), (1, "a://b.c/", "x"), (None, "a://b.c/", "x"), (None, None, None)], "page_id long, url string, host string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(None, "a"), (1, None), (1, prose(2, 50))], SCHEMAS["benchmark"]).write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 0, "assistant", "a", "x"), (1, 0, "assistant", "a", "x"), (None, None, None, None, None)], SCHEMAS["conversations"] + ", window string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, [0.5] * 64, 1, "x"), (1, [0.5] * 64, 1, "x"), (None, [1.5] * 64, None, "x"), (None, None, None, None)], SCHEMAS["embeddings"] + ", cluster string").write.parquet(f"{tmp_path}/embeddings.parquet")
     counts = {name: query(spark, str(tmp_path)).count() for name, query in queries.QUERIES.items() if name != "pipeline"}
-    assert counts == {"op1_near_dedup": 4, "op2_toxicity": 7, "op3_fingerprint": 7, "op4_chat_format": 3, "op5_pack": counts["op5_pack"], "op6_url_filter": 4, "op7_language_id": 7, "op8_lm_score": 7, "op9_decontaminate": 0, "op10_substring_dedup": 7}
+    assert counts == {"op1_near_dedup": 4, "op2_toxicity": 7, "op3_fingerprint": 7, "op4_chat_format": 3, "op5_pack": counts["op5_pack"], "op6_url_filter": 4, "op7_language_id": 7, "op8_lm_score": 7, "op9_decontaminate": 0, "op10_substring_dedup": 7, "op11_centroids": 3, "op12_conversation_repair": 2, "op13_pattern_pack": counts["op13_pattern_pack"]}
     # the null id's text is a benchmark item, the repeats and empty texts go; the other columns stay
     assert queries.QUERIES["pipeline"](spark, str(tmp_path)).select("doc_id").distinct().orderBy("doc_id").collect() == [(1,), (3,)]
