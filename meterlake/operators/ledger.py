@@ -74,16 +74,28 @@ def merged_items(items: DataFrame, keys: list[str], texts: list[str], seq: str)
     return items.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _measures(items)], *last)
 
 
-def legacy_upsert(stored: DataFrame, batch: DataFrame, applied: DataFrame, key: str, fingerprint: str = "source_fingerprint") -> DataFrame:
-    """Apply a batch of daily rows once: batches seen before change nothing, rows derived from hours are not replaced,
-    a named model replaces its unnamed twin, and rows with the fingerprint of a stored row under another key are left out."""
-    fresh = batch.join(applied.select("batch_hash").distinct(), "batch_hash", "left_anti")
-    derived = stored.where("hourly_derived")
-    fresh = fresh.join(derived.select(key), key, "left_anti").join(stored.select(fingerprint, F.col(key).alias("__key")), fingerprint, "left").where(F.col("__key").isNull() | (F.col("__key") == F.col(key))).drop("__key", "batch_hash").dropDuplicates([key])
-    named = fresh.where("model <> 'unknown'").select("day", "provider_id", "workdir_id").distinct()
-    kept = stored.join(fresh.select(key), key, "left_anti")
-    twins = kept.where("model = 'unknown' and not hourly_derived").join(named, ["day", "provider_id", "workdir_id"], "left_semi").select(key)
-    return kept.join(twins, key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+def legacy_upsert(stored: DataFrame, batch: DataFrame, applied: DataFrame, key: str, fingerprint: str = "source_fingerprint", seq: str = "seq", display: list[str] | None = None) -> DataFrame:
+    """Apply a batch of daily rows once: batches seen before change nothing, and of rows with one key the last (by ``seq``) counts.
+
+    An incoming row puts out, under other keys: stored rows of its fingerprint (an empty one puts out none), the unnamed twin of a
+    named model, and with ``display`` (columns that are all set where it applies) stored rows that agree in them. A stored row of its own key that is derived from hours stays.
+    """
+    fresh = batch.join(applied.select("batch_hash").distinct(), "batch_hash", "left_anti").drop("batch_hash")
+    fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*[c for c in fresh.columns if c != key]), seq).alias("__r")).select(key, "__r.*").drop(seq)
+
+    def put_out(on: list[str], by: DataFrame, rows: DataFrame) -> DataFrame:
+        # gone if a row under another key agrees: by the least and the largest key of those that do
+        keys = by.groupBy(*on).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+        return rows.join(keys, on, "left").where(F.col("__low").isNull() | ((F.col("__low") == F.col(key)) & (F.col("__high") == F.col(key)))).drop("__low", "__high")
+
+    kept = put_out([fingerprint], fresh.where(F.coalesce(fingerprint, F.lit("")) != ""), stored)
+    named = fresh.where("model <> 'unknown'").select("day", "provider_id", "workdir_id").distinct().withColumn("__named", F.lit(True))
+    kept = kept.join(named, ["day", "provider_id", "workdir_id"], "left").where("__named is null or model <> 'unknown'").drop("__named")
+    if display:
+        kept = put_out(display, fresh.dropna(subset=display), kept)
+    derived = kept.where("hourly_derived").select(key)
+    incoming = fresh.join(derived, key, "left_anti")
+    return kept.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
 def daily_upsert(stored: DataFrame, snapshot: DataFrame, key: str, scope: list[str]) -> DataFrame:
@@ -208,40 +220,44 @@ def not_imported(messages: DataFrame, imports: DataFrame, key: str = "session_id
 
 
 def within_sessions(traces: DataFrame, sessions: DataFrame, slack_seconds: int = 5) -> DataFrame:
-    """Each trace with the newest created session that was open when it began.
+    """Each trace with the newest created session of its root that was open when it began; deleted sessions are left out.
 
-    Traces and sessions meet by worker and by the days that the session spans, so that the interval is a filter on an equi-join.
+    Traces and sessions meet by root and by the days that the session spans, so that the interval is a filter on an equi-join.
     """
     ends = F.coalesce("last_activity_at", "updated_at")
-    spans = sessions.select(F.col("id").alias("session_id"), "worker", "cwd", "created_at", ends.alias("ended_at"), F.explode(F.sequence(F.to_date(F.col("created_at") - F.make_dt_interval(secs=F.lit(slack_seconds))), F.to_date(F.greatest("created_at", ends)))).alias("__day"))
-    joined = traces.withColumn("__day", F.to_date("started_at")).join(spans, ["worker", "__day"], "left")
+    live = sessions.where(F.col("deleted_at").isNull()) if "deleted_at" in sessions.columns else sessions
+    spans = live.select(F.col("id").alias("session_id"), "root", "cwd", "created_at", ends.alias("ended_at"), F.explode(F.sequence(F.to_date(F.col("created_at") - F.make_dt_interval(secs=F.lit(slack_seconds))), F.to_date(F.greatest("created_at", ends)))).alias("__day"))
+    joined = traces.withColumn("__day", F.to_date("started_at")).join(spans, ["root", "__day"], "left")
     open_then = (F.col("created_at") - F.make_dt_interval(secs=F.lit(slack_seconds)) <= F.col("started_at")) & (F.col("started_at") <= F.col("ended_at"))
     best = joined.groupBy("trace_id").agg(F.max_by(F.struct("session_id", "cwd"), F.when(open_then, F.struct("created_at", "session_id"))).alias("s"))
     return traces.join(best, "trace_id").select(*traces.columns, "s.session_id", "s.cwd")
 
 
-def without_replay(events: DataFrame, parents: DataFrame, fields: list[str]) -> DataFrame:
-    """Events of forked sessions without what they repeat of their parent: the longest common beginning of both sequences.
+def without_replay(events: DataFrame, fields: list[str], gap_ms: int = 1000) -> DataFrame:
+    """Usage events without what forked sessions repeat of their parents.
 
-    ``events`` has session_id, parent_id (null if not forked), seq and ``fields``; ``parents`` the same columns of all sessions.
+    ``events`` has file, line (ascending), session_id, ts, parent_id (null: not forked), forked_at, burst_at and ``fields``. A parent is the
+    first file of its session. A fork drops its longest common beginning with the parent's events up to the first one after
+    forked_at (events without a time and forks without one set no end). If not even the first event agrees and burst_at is
+    set, it drops the burst instead: events from burst_at on, each within the gap of the one before; an event without a time ends it.
     """
-    def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumn("__n", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")))
-
-    mine = numbered(events)
-    theirs = numbered(parents).select(F.col("session_id").alias("parent_id"), "__n", F.struct(*fields).alias("__theirs"))
-    joined = mine.join(theirs, ["parent_id", "__n"], "left")
-    differs = F.coalesce(~F.col("__theirs").eqNullSafe(F.struct(*fields)), F.lit(True)) | F.col("parent_id").isNull()
-    upto = Window.partitionBy("session_id").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("__own", F.max(differs.cast("int")).over(upto)).where("__own = 1").drop("__n", "__theirs", "__own")
-
-
-def without_first_burst(events: DataFrame, gap_ms: int = 1000) -> DataFrame:
-    """Events of forked sessions without the burst they begin with: what follows its predecessor within the gap, from the start on."""
-    order = Window.partitionBy("session_id").orderBy("seq")
-    pause = F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")) - F.lag(F.unix_millis(F.col("ts").cast("timestamp"))).over(order), F.lit(0)) > gap_ms
-    marked = events.withColumn("__p", pause.cast("int"))
-    return marked.withColumn("__after", F.max("__p").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("parent_id is null or __after = 1").drop("__p", "__after")
+    order = Window.partitionBy("file").orderBy("line")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = events.withColumn("__n", F.row_number().over(order))
+    forks = numbered.where("parent_id is not null")
+    parents = numbered.join(numbered.groupBy("session_id").agg(F.min("file").alias("file")), ["session_id", "file"], "left_semi")
+    theirs = parents.select(F.col("session_id").alias("parent_id"), "__n", F.col("ts").alias("__at"), F.struct(*fields).alias("__theirs"))
+    at = forks.join(theirs, ["parent_id", "__n"], "left")
+    # before the fork: no event so far is later than it; a fork's own order serves, since both are numbered alike
+    late = F.coalesce(F.col("__at") > F.col("forked_at"), F.lit(False))
+    differs = late | ~F.coalesce(F.col("__theirs").eqNullSafe(F.struct(*fields)), F.lit(False)) | F.col("__theirs").isNull()
+    marked = at.withColumn("__own", F.max(differs.cast("int")).over(upto)).withColumn("__none", F.first(differs).over(upto))
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    since = ms - F.coalesce(F.lag(ms).over(order), F.when(F.col("__n") == 1, F.unix_millis(F.col("burst_at").cast("timestamp"))))
+    pause = ~F.coalesce((since >= 0) & (since <= gap_ms), F.lit(False))
+    marked = marked.withColumn("__after", F.max(pause.cast("int")).over(upto))
+    kept = marked.where(F.when(F.col("__none") & F.col("burst_at").isNotNull(), F.col("__after") == 1).otherwise(F.col("__own") == 1))
+    return numbered.where("parent_id is null").unionByName(kept.select(*numbered.columns)).drop("__n")
 
 
 def one_copy(files: DataFrame) -> DataFrame:

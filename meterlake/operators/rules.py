@@ -18,12 +18,25 @@ NOT_USAGE = ("model_list", "provider_test", "probe")
 QUALITIES = ("exact", "partial", "estimated")
 
 
-def public_item(events: DataFrame, columns: list[str], trace: str = "raw_source_ref", longest: int = 200) -> DataFrame:
-    """Only the named columns, tokens as whole numbers and their total made anew; a trace is cut to ``longest``."""
+#: Trace texts of an item, and what an item without a value has.
+TRACES = ("raw_source_ref", "provider_version", "parser_version", "source_fingerprint")
+DEFAULTS = {"hour": 0, "source_quality": "unknown"}
+
+
+def public_item(events: DataFrame, columns: list[str], longest: int = 160) -> DataFrame:
+    """Only the named columns: tokens as whole numbers and their total made anew, traces trimmed and cut to ``longest``, defaults where nothing is.
+
+    A parser without a version has the provider's.
+    """
     present = [c for c in columns if c in events.columns]
     out = {c: token_number(F.col(c)) for c in COUNTS if c in present}
     total = sum((out[c] for c in COUNTS if c in out and c != "reasoning_tokens"), F.lit(0).cast("long"))
-    out |= {"total_tokens": total, trace: F.substring(trace, 1, longest)}
+    for c in TRACES:
+        if c in present:
+            value = F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("provider_version")) if c == "parser_version" and "provider_version" in events.columns else F.col(c)
+            out[c] = F.substring(F.trim(F.coalesce(value, F.lit(""))), 1, longest)
+    out |= {c: F.coalesce(F.nullif(F.col(c), F.lit("")) if isinstance(x, str) else F.col(c), F.lit(x)) for c, x in DEFAULTS.items() if c in present}
+    out["total_tokens"] = total
     return events.select(*[out.get(c, F.col(c)).alias(c) for c in [*present, *(["total_tokens"] if "total_tokens" not in present else [])]])
 
 
@@ -58,23 +71,46 @@ def forbidden_fields(schema: T.StructType, names: set[str], path: str = "") -> l
     return found
 
 
-def snapshot_status(snapshots: DataFrame, items: DataFrame, scope: list[str]) -> DataFrame:
-    """Whether each snapshot (scope, row_count, total_tokens) is what its items say: ok, bad_day, bad_hour, bad_count or bad_total."""
-    actual = items.groupBy(*scope).agg(F.count("*").alias("rows"), F.sum("total_tokens").alias("tokens"))
-    joined = snapshots.join(actual, scope, "left")
-    status = F.when(F.col("day").isNull(), "bad_day")
+def snapshot_status(snapshots: DataFrame, items: DataFrame, scope: list[str], key: str | None = None) -> DataFrame:
+    """Whether each snapshot may be taken: ok, or the first of bad_day, bad_hour, no_provider, no_fingerprint, empty, bad_count, bad_total, bad_items.
+
+    Items belong to a snapshot by ``key``, or by the scope itself; an item of another scope makes a snapshot bad_items. A total only has to be
+    a number of 0 or more, as the items say what counts.
+    """
+    on = [key] if key else scope
+    said = snapshots.select(*on, *[F.col(c).alias(f"__{c}") for c in scope if c not in on], *[c for c in ("row_count", "total_tokens", "fingerprint") if c in snapshots.columns])
+    own = F.lit(True)
+    for c in scope:
+        if c not in on:
+            own = own & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = said.join(items.select(*dict.fromkeys([*on, *scope]), F.lit(1).alias("__item")), on, "left")
+    counted = joined.groupBy(*said.columns).agg(F.count("__item").alias("__items"), F.count_if(F.col("__item").isNotNull() & ~own).alias("__others"))
+    at = {c: F.col(c if c in on else f"__{c}") for c in scope}
+    status = F.when(~F.coalesce(at["day"].cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), "bad_day")
     if "hour" in scope:
-        status = status.when(~F.coalesce(F.col("hour").between(0, 23), F.lit(False)), "bad_hour")
-    status = status.when(F.col("row_count") != F.coalesce("rows", F.lit(0)), "bad_count").when(F.col("total_tokens") != F.coalesce("tokens", F.lit(0)), "bad_total").otherwise("ok")
-    return joined.select(*scope, status.alias("status"))
-
-
-def workdir_identity(candidate: Column, salt: Column) -> tuple[Column, Column]:
-    """Salted hash and display name of a work folder; ``virtual:`` ones keep their name, an unknown one has none."""
-    path = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(candidate, F.lit(""))), r"\\", "/"), r"/+$", "")
-    virtual = path.startswith("virtual:")
-    name = F.when(path == "", "unknown").when(virtual, F.substring(path, F.lit(len("virtual:") + 1), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
-    return F.when(path == "", "unknown").otherwise(F.sha2(F.concat_ws("|", salt, F.when(virtual, path).otherwise(F.lower(path))), 256)), name
+        status = status.when(~F.coalesce(at["hour"].between(0, 23), F.lit(False)), "bad_hour")
+    if "provider_id" in scope:
+        status = status.when(F.coalesce(at["provider_id"], F.lit("")) == "", "no_provider")
+    if "fingerprint" in snapshots.columns:
+        status = status.when(F.coalesce("fingerprint", F.lit("")) == "", "no_fingerprint")
+    status = status.when(F.col("row_count") == 0, "empty").when(F.coalesce("row_count", F.lit(-1)) != F.col("__items"), "bad_count")
+    status = status.when(F.coalesce("total_tokens", F.lit(-1)) < 0, "bad_total").when(F.col("__others") > 0, "bad_items").otherwise("ok")
+    return counted.select(*([key] if key else []), *[c.alias(n) for n, c in at.items()], status.alias("status"))
+
+
+def workdir_identity(candidate: Column, participant: Column) -> tuple[Column, Column]:
+    """Digest of a work folder and its participant, and the folder's name.
+
+    A path has forward slashes, none at its end and lower case in the digest; its name is its last part, or ``root``. Of ``virtual:a:b`` the
+    name is ``b`` and the digest takes it as it is. Without a folder both are those of ``unknown``: there is no folder to stand in for it.
+    """
+    given = F.coalesce(candidate, F.lit(""))
+    virtual = given.startswith("virtual:")
+    path = F.regexp_replace(F.translate(given, "\\", "/"), r"/+$", "")
+    last = F.nullif(F.element_at(F.split(path, "/"), -1), F.lit(""))
+    name = F.when(given == "", "unknown").when(virtual, F.element_at(F.split(given, ":"), -1)).otherwise(F.coalesce(last, F.lit("root")))
+    hashed = F.when(given == "", "unknown").when(virtual, given).otherwise(F.lower(path))
+    return F.sha2(F.concat(hashed, F.lit(":"), participant.cast("string")), 256), name
 
 
 def with_alias(rows: DataFrame, aliases: DataFrame, key: str, name: str) -> DataFrame:

@@ -90,13 +90,15 @@ def newest_upload(u, h, p):
     return K.newest_upload(h, ["participant_id", "day"], "ts", "event_id").select("participant_id", "day", "device_id", "event_id")
 
 
-@query("SELECT status, count(*) AS snapshots FROM (SELECT CASE WHEN hour=23 THEN 'bad_hour' WHEN hour=22 THEN 'bad_count' WHEN hour=21 THEN 'bad_total' ELSE 'ok' END AS status FROM (SELECT DISTINCT day, hour, provider_id FROM h)) GROUP BY 1", hourly=True)
+@query("SELECT status, count(*) AS snapshots FROM (SELECT CASE WHEN hour=23 THEN 'bad_hour' WHEN hour=22 THEN 'bad_count' WHEN hour=21 THEN 'bad_total' WHEN hour=20 THEN 'empty' WHEN hour=19 THEN 'bad_items' ELSE 'ok' END AS status FROM (SELECT DISTINCT day, hour, provider_id FROM h)) GROUP BY 1", hourly=True)
 def snapshot_checks(u, h, p):
     from meterlake.operators import rules as R
 
-    moved = h.withColumn("hour", F.when(F.col("hour") == 23, 24).otherwise(F.col("hour")))
-    said = K.bucket_snapshots(moved).withColumn("row_count", F.col("row_count") + F.when(F.col("hour") == 22, 1).otherwise(0)).withColumn("total_tokens", F.col("total_tokens") + F.when(F.col("hour") == 21, 1).otherwise(0))
-    return R.snapshot_status(said, moved, L.SCOPE).groupBy("status").agg(F.count("*").alias("snapshots"))
+    at = F.concat_ws(" ", F.col("day").cast("string"), F.col("hour").cast("string"), "provider_id")
+    items = h.withColumn("snapshot", at).withColumn("provider_id", F.when(F.col("hour") == 19, "other").otherwise(F.col("provider_id")))
+    said = K.bucket_snapshots(h).withColumn("snapshot", at).withColumn("hour", F.when(F.col("hour") == 23, 24).otherwise(F.col("hour")))
+    said = said.withColumn("row_count", F.when(F.col("hour") == 20, 0).otherwise(F.col("row_count") + F.when(F.col("hour") == 22, 1).otherwise(0))).withColumn("total_tokens", F.when(F.col("hour") == 21, -1).otherwise(F.col("total_tokens") + 1))
+    return R.snapshot_status(said, items, L.SCOPE, "snapshot").groupBy("status").agg(F.count("*").alias("snapshots"))
 
 
 @query("SELECT count(*) AS buckets, count(*) FILTER (hour<>23) AS accepted, count(*) FILTER (hour=23) AS rejected FROM (SELECT DISTINCT day, hour, provider_id FROM h)", hourly=True)
@@ -196,13 +198,13 @@ def not_imported(u, h, p):
     return K.not_imported(messages, messages.where("session_id % 5 = 0").select("session_id")).agg(F.count("*").alias("messages"))
 
 
-_SESSIONS = "SELECT event_id AS session_id, participant_id AS worker, 'w' || event_id AS cwd, ts AS created_at, ts + INTERVAL 7 HOUR AS ended_at FROM h WHERE event_id%10=0"
+_SESSIONS = "SELECT event_id AS session_id, participant_id AS root, 'w' || event_id AS cwd, ts AS created_at, ts + INTERVAL 7 HOUR AS ended_at FROM h WHERE event_id%10=0 AND event_id%70<>0"
 
 
-@query(f"""SELECT t.event_id AS trace_id, arg_max(s.session_id, (created_at, s.session_id)) AS session_id, arg_max(cwd, (created_at, s.session_id)) AS cwd FROM (SELECT * FROM h WHERE event_id%10<>0) t LEFT JOIN ({_SESSIONS}) s ON s.worker=t.participant_id AND created_at - INTERVAL 5 SECOND<=t.ts AND t.ts<=ended_at GROUP BY 1""", hourly=True)
+@query(f"""SELECT t.event_id AS trace_id, arg_max(s.session_id, (created_at, s.session_id)) AS session_id, arg_max(cwd, (created_at, s.session_id)) AS cwd FROM (SELECT * FROM h WHERE event_id%10<>0) t LEFT JOIN ({_SESSIONS}) s ON s.root=t.participant_id AND created_at - INTERVAL 5 SECOND<=t.ts AND t.ts<=ended_at GROUP BY 1""", hourly=True)
 def traces_within_sessions(u, h, p):
-    traces = h.where("event_id % 10 <> 0").select(F.col("event_id").alias("trace_id"), F.col("participant_id").alias("worker"), F.col("ts").alias("started_at"))
-    sessions = h.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("participant_id").alias("worker"), F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("cwd"), F.col("ts").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_activity_at"), F.expr("ts + interval 7 hours").alias("updated_at"))
+    traces = h.where("event_id % 10 <> 0").select(F.col("event_id").alias("trace_id"), F.col("participant_id").alias("root"), F.col("ts").alias("started_at"))
+    sessions = h.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("participant_id").alias("root"), F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("cwd"), F.col("ts").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_activity_at"), F.expr("ts + interval 7 hours").alias("updated_at"), F.when(F.col("event_id") % 70 == 0, F.col("ts")).alias("deleted_at"))
     return K.within_sessions(traces, sessions).select("trace_id", "session_id", "cwd")
 
 

@@ -334,10 +334,12 @@ def validated_items(u, h, p):
     return marked.groupBy(F.coalesce(F.nullif(F.array_join(R.problems(["provider_id", "workdir"]), ","), F.lit("")), F.lit("ok")).alias("status")).agg(F.count("*").alias("rows"))
 
 
-@query("SELECT participant_id, sha256('salt|/home/' || participant_id || '/work') AS workdir_hash, 'work' AS workdir_name FROM p", lean=True)
+@query("SELECT participant_id, sha256(CASE participant_id%3 WHEN 0 THEN 'virtual:Desk:T ' || participant_id WHEN 1 THEN 'c:/home/work' ELSE '' END || ':' || participant_id) AS workdir_hash, CASE participant_id%3 WHEN 0 THEN 'T ' || participant_id WHEN 1 THEN 'Work' ELSE 'root' END AS workdir_name FROM p", lean=True)
 def workdir_identities(u, h, p):
-    digest, name = R.workdir_identity(F.concat(F.lit(" /Home/"), F.col("participant_id").cast("string"), F.lit("/work// ")), F.lit("salt"))
-    return p.select("participant_id", digest.alias("workdir_hash"), F.lower(name).alias("workdir_name"))
+    kind = F.col("participant_id") % 3
+    folder = F.when(kind == 0, F.concat(F.lit("virtual:Desk:T "), F.col("participant_id").cast("string"))).when(kind == 1, "C:\\Home\\Work//").otherwise("//")
+    digest, name = R.workdir_identity(folder, F.col("participant_id"))
+    return p.select("participant_id", digest.alias("workdir_hash"), name.alias("workdir_name"))
 
 
 @query("SELECT participant_id, CASE WHEN participant_id%4=0 THEN 'alias ' || participant_id ELSE nickname END AS nickname, team_id FROM p", lean=True)

@@ -15,13 +15,21 @@ def source_files(spark: SparkSession, path: str, glob: str = "*", like: str | No
     return f if like is None else f.where(F.col("name").rlike(like))
 
 
-def fingerprints(files: DataFrame, provider: str, parser: str) -> DataFrame:
-    """A digest of each file's provider, time, size and parser: if it is the same, the file need not be read again."""
-    return files.withColumn("source_fingerprint", F.sha2(F.concat_ws("|", F.lit(provider), F.unix_millis("changed").cast("string"), F.col("bytes").cast("string"), F.lit(parser)), 256))
+def fingerprints(files: DataFrame, provider: str, parser: str, stable_key: Column | None = None) -> DataFrame:
+    """A digest of each file's provider, parser, stable key (its path, or what stays when a tool moves it), size and time, and of its
+    write-ahead file's size and time: if it is the same, the file need not be read again. Write-ahead files have no row of their own."""
+    of = F.regexp_replace("path", "-wal$", "")
+    state = F.struct(F.col("bytes"), F.unix_millis("changed").alias("at"))
+    logs = files.where(F.col("path").endswith("-wal")).select(of.alias("path"), state.alias("__wal"))
+    main = files.where(~F.col("path").endswith("-wal")).join(logs, "path", "left")
+    zero = F.lit(0).cast("long")
+    parts = [F.lit(provider), F.lit(parser), F.col("path") if stable_key is None else stable_key, F.col("bytes"), F.unix_millis("changed"), F.coalesce("__wal.bytes", zero), F.coalesce("__wal.at", zero)]
+    return main.withColumn("source_fingerprint", F.sha2(F.concat_ws("|", *[x.cast("string") for x in parts]), 256)).drop("__wal")
 
 
 def to_read(files: DataFrame, known: DataFrame) -> DataFrame:
-    return files.join(known.select("path", "source_fingerprint"), ["path", "source_fingerprint"], "left_anti")
+    """Files whose digest is not known; what has moved under a stable key is not read again."""
+    return files.join(known.select("source_fingerprint").distinct(), "source_fingerprint", "left_anti")
 
 
 def logs_once(files: DataFrame) -> DataFrame:

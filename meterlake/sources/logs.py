@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterlake.operators.ledger import without_replay
+from meterlake.sources.packed import packed_lines
+
 EVENT = ["provider_id", "session_id", "ts", "workdir", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens", "source_quality", "dedup_key", "source_file"]
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
-    """Rows file, line (ascending in the file), r (the parsed record) of all files below ``path``."""
+def json_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl", packed: str | None = None, whole_frames: bool = False) -> DataFrame:
+    """Rows file, line (ascending in the file), r (the parsed record) of all files below ``path``; ``packed`` names compressed ones."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     # a split of a file is read in order by one task, so its lines are told apart by its offset and the task's row number
     placed = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
-    lines = placed.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) - 1)
+    lines = placed.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) - 1).select("file", F.col("line").cast("long").alias("line"), "raw")
+    if packed:
+        lines = lines.unionByName(packed_lines(spark, path, packed, whole_frames))
     # a record in a column that cannot hold it is null there; a line that is no JSON object is left out
     parsed = lines.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")).select("file", "line", F.from_json("raw", schema).alias("r"))
     return parsed.where("r is not null")
@@ -53,18 +58,31 @@ def finished(df: DataFrame, provider: str) -> DataFrame:
 _USAGE = "input_tokens bigint, output_tokens bigint, cached_input_tokens bigint, cache_creation_input_tokens bigint, reasoning_output_tokens bigint, reasoning_tokens bigint, total_tokens bigint"
 
 
-def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session logs whose token counts run on: usage is the difference to the line before, never negative.
+#: What is compared when a forked session repeats its parent's usage.
+REPLAYED = ["raw_input", "cache_read_tokens", "cache_write_tokens", "raw_output", "reasoning_tokens", "raw_total"]
 
-    Handles rollout records (session_meta, turn_context, event_msg of type token_count) and the plain
-    form with token_count on each line. A total that shrinks has begun anew. A record's last_token_usage
-    counts instead of the difference if the total differs from the one before or is missing.
-    """
-    schema = f"""timestamp string, session_id string, cwd string, model string, token_count struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>, type string,
-     payload struct<id:string,cwd:string,model:string,type:string,info:struct<last_token_usage:struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>,total_token_usage:struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>>>"""
-    r = json_lines(spark, path, schema)
+
+def session_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Usage events of cumulative session logs, plain or compressed, replays included, with what finds these: parent_id and forked_at of the
+    session (from a session_meta on the file's first line), burst_at (the time of its first token count if the second came within a second), and the counts as logged."""
+    counts = f"struct<{_USAGE.replace(' bigint', ':bigint').replace(', ', ',')}>"
+    schema = f"""timestamp string, session_id string, cwd string, model string, token_count {counts}, type string,
+     payload struct<id:string,session_id:string,timestamp:string,forked_from_id:string,source:string,cwd:string,model:string,type:string,info:struct<last_token_usage:{counts},total_token_usage:{counts}>>"""
+    r = json_lines(spark, path, schema, packed="*.jsonl.zst")
     r = r.select("file", "line", "r.*").withColumn("model", fill_down(F.coalesce(F.col("model"), F.col("payload.model")))).withColumn("workdir", fill_down(F.coalesce(F.col("cwd"), F.col("payload.cwd"))))
-    r = r.withColumn("session_id", fill_down(F.coalesce(F.col("session_id"), F.when(F.col("type") == "session_meta", F.col("payload.id")))))
+    meta = F.col("type") == "session_meta"
+    r = r.withColumn("session_id", fill_down(F.coalesce(F.col("session_id"), F.when(meta, F.coalesce("payload.id", "payload.session_id")))))
+    spawned = F.get_json_object("payload.source", "$.subagent.thread_spawn.parent_thread_id")
+    parent = F.coalesce(F.col("payload.forked_from_id"), spawned)
+    r = r.withColumn("ts", timestamp(F.col("timestamp")))
+    head = F.struct(F.nullif(parent, F.lit("")).alias("parent_id"), F.coalesce("ts", timestamp(F.col("payload.timestamp"))).alias("forked_at"))
+    r = r.withColumn("head", fill_down(F.when(meta & (F.col("line") == 0), head)))
+    timed = F.when((F.col("type") == "event_msg") & (F.col("payload.type") == "token_count"), F.col("ts"))
+    whole = Window.partitionBy("file").orderBy("line")
+    nth = F.sum(timed.isNotNull().cast("int")).over(whole)
+    r = r.withColumn("timed", timed).withColumn("nth", nth)
+    first, second = (F.max(F.when((F.col("nth") == k) & F.col("timed").isNotNull(), F.unix_millis("timed"))).over(Window.partitionBy("file")) for k in (1, 2))
+    r = r.withColumn("burst_at", F.when((second >= first) & (second - first <= 1000), F.timestamp_millis(first)))
     total, last = F.col("payload.info.total_token_usage"), F.col("payload.info.last_token_usage")
     r = r.withColumn("last", last).withColumn("now", F.coalesce(total, F.when(last.isNull(), F.col("token_count"))))
     before = F.last("now", ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
@@ -77,11 +95,22 @@ def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
         return F.when(own, number(F.col(f"last.{name}"))).when(again, now).otherwise(F.greatest(now - then, F.lit(0)))
 
     read, write = delta("cached_input_tokens"), delta("cache_creation_input_tokens")
-    split = r.select(
-        "file", "session_id", timestamp(F.col("timestamp")).alias("ts"), "workdir", F.lower(F.trim("model")).alias("model"), F.greatest(delta("input_tokens") - read - write, F.lit(0)).alias("input_tokens"), delta("output_tokens").alias("output_tokens"),
+    said = delta("total_tokens")
+    return r.select(
+        "file", "line", "session_id", "ts", "workdir", F.lower(F.trim("model")).alias("model"), F.greatest(delta("input_tokens") - read - write, F.lit(0)).alias("input_tokens"), delta("output_tokens").alias("output_tokens"),
         read.alias("cache_read_tokens"), write.alias("cache_write_tokens"), F.greatest(delta("reasoning_output_tokens"), delta("reasoning_tokens")).alias("reasoning_tokens"), F.concat_ws(":", "session_id", "line").alias("dedup_key"),
-    )
-    return finished(split, "codex_local")
+        "head.parent_id", "head.forked_at", "burst_at", delta("input_tokens").alias("raw_input"), delta("output_tokens").alias("raw_output"), F.when(said > 0, said).otherwise(delta("input_tokens") + delta("output_tokens")).alias("raw_total"),
+    ).where("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
+
+
+def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Session logs whose token counts run on: usage is the difference to the line before, never negative.
+
+    Handles rollout records (session_meta, turn_context, event_msg of type token_count) and the plain
+    form with token_count on each line, also in ``.jsonl.zst`` files. A total that shrinks has begun anew. A record's last_token_usage
+    counts instead of the difference if the total differs from the one before or is missing. What a forked session repeats of its parent does not count.
+    """
+    return finished(without_replay(session_counts(spark, path), REPLAYED), "codex_local")
 
 
 def compacted_usage(spark: SparkSession, path: str) -> DataFrame:
@@ -136,11 +165,13 @@ def record_sessions(spark: SparkSession, path: str, index: DataFrame | None = No
     return finished(shaped, "kimi_local")
 
 
-def seeded_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Logs with a versioned header (only version 0 is read); rows up to the last end-seed belong to a parent."""
+def seeded_sessions(spark: SparkSession, path: str, exact_names: bool = False) -> DataFrame:
+    """Logs with a versioned header (only version 0 is read); rows up to the last end-seed belong to a parent.
+
+    With ``exact_names`` the files are ``session.jsonl`` and, of whole frames, ``session.jsonl.zstd``; else every ``*.jsonl``."""
     usage = "inputTokens:bigint,outputTokens:bigint,cacheReadTokens:bigint,cacheWriteTokens:bigint,reasoningTokens:bigint"
     schema = f"type string, version int, id string, cwd string, seq bigint, time string, data struct<message:struct<source:struct<model:string>>,usage:struct<{usage}>>"
-    r = json_lines(spark, path, schema).select("file", "line", "r.*")
+    r = json_lines(spark, path, schema, "session.jsonl", "session.jsonl.zstd", whole_frames=True).select("file", "line", "r.*") if exact_names else json_lines(spark, path, schema).select("file", "line", "r.*")
     whole = Window.partitionBy("file")
     r = r.withColumn("edition", F.max(F.when(F.col("type") == "session", F.col("version"))).over(whole)).withColumn("seed", F.max(F.when(F.col("type") == "session/end-seed", F.col("seq"))).over(whole))
     r = r.withColumn("session_id", F.max(F.when(F.col("type") == "session", F.col("id"))).over(whole)).withColumn("workdir", F.max("cwd").over(whole)).where("edition = 0 and data.usage is not null and seq > coalesce(seed, -1)")

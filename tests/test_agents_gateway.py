@@ -97,6 +97,15 @@ def test_files_and_copies(spark, tmp_path):
     once = files.logs_once(found)
     assert sorted(r.path.split("/home/")[1] for r in once.collect()) == ["archived_sessions/b.jsonl", "sessions/a.jsonl"]
     assert files.to_read(found, found).count() == 0 and files.to_read(found, found.limit(1)).count() == 3
+    assert found.select("source_fingerprint").distinct().count() == 4
+    # equal size and time, another path: another digest, unless the key is stable; a write-ahead file counts
+    day = datetime(2026, 1, 1)
+    state = spark.createDataFrame([("/r/a.db", day, 5), ("/r/b.db", day, 5), ("/r/b.db-wal", day, 7)], "path string, changed timestamp, bytes long")
+    digest = lambda *x: hashlib.sha256("|".join(map(str, x)).encode()).hexdigest()
+    ms = 1767225600000
+    assert {r.path: r.source_fingerprint for r in files.fingerprints(state, "c", "1").collect()} == {"/r/a.db": digest("c", 1, "/r/a.db", 5, ms, 0, 0), "/r/b.db": digest("c", 1, "/r/b.db", 5, ms, 7, ms)}
+    moved = files.fingerprints(state.where("path = '/r/a.db'"), "c", "1", F.element_at(F.split("path", "/"), -1))
+    assert files.to_read(moved.withColumn("path", F.lit("/old/a.db")), moved).count() == 0
     assert spark.range(1).select(files.project_folder(F.lit("-Users-a-b"))).first()[0] == "/Users/a/b"
 
 
@@ -107,23 +116,30 @@ def test_compaction_and_replay(spark, tmp_path):
     named = lambda r: {"type": "compacted", "payload": {"compaction_response_id": r}}
     where = write(tmp_path / "c" / "s.jsonl", {"type": "session_meta", "payload": {"id": "s"}}, record("a", 5, 1), record("b", 7, 7), count, record("c", 9, 9), named("a"), named("b"))
     assert [(r.session_id, r.response_id, r.input_tokens) for r in logs.compacted_usage(spark, where).collect()] == [("s", "a", 5)]
-    rows = [("p", None, i, v) for i, v in enumerate([1, 2, 3, 4])] + [("c", "p", i, v) for i, v in enumerate([1, 2, 9, 4])] + [("d", "q", 0, 5)]
-    events = spark.createDataFrame(rows, "session_id string, parent_id string, seq int, n int")
-    own = K.without_replay(events, events, ["n"])
-    assert sorted((r.session_id, r.n) for r in own.collect()) == [("c", 4), ("c", 9), ("d", 5), ("p", 1), ("p", 2), ("p", 3), ("p", 4)]
-    at = lambda s: datetime(2026, 1, 1, 0, 0, s)
-    timed = spark.createDataFrame([("c", "p", 0, at(0)), ("c", "p", 1, at(1)), ("c", "p", 2, at(9)), ("c", "p", 3, at(9)), ("x", None, 0, at(0))], "session_id string, parent_id string, seq int, ts timestamp")
-    assert sorted((r.session_id, r.seq) for r in K.without_first_burst(timed).collect()) == [("c", 2), ("c", 3), ("x", 0)]
+    at = lambda s: datetime(2026, 1, 1, 0, s // 60, s % 60)
+    schema = "file string, line long, session_id string, ts timestamp, parent_id string, forked_at timestamp, burst_at timestamp, n int"
+    rows = [("P", i, "p", at(i), None, None, None, v) for i, v in enumerate([1, 2, 3, 4])]
+    rows += [("C", i, "c", at(100 + i), "p", at(1), None, v) for i, v in enumerate([1, 2, 3, 4])]  # the parent's third came after the fork
+    rows += [("D", i, "d", at(s), "p", at(50), None, v) for i, (s, v) in enumerate([(60, 8), (660, 9)])]  # nothing agrees and no burst: all its own
+    rows += [("E", 0, "e", at(60), "p", None, None, 7)]
+    rows += [("F", i, "f", at(s), "gone", None, at(60), 1) for i, s in enumerate([60, 61, 62, 64, 64])]  # a burst of an unknown parent
+    rows += [("G", i, "g", at(s), "p", None, at(60), v) for i, (s, v) in enumerate([(60, 1), (61, 9), (62, 3)])]  # what agrees goes, the rest stays in spite of the burst
+    own = K.without_replay(spark.createDataFrame(rows, schema), ["n"])
+    assert sorted((r.file, r.line) for r in own.collect()) == [("C", 2), ("C", 3), ("D", 0), ("D", 1), ("E", 0), ("F", 3), ("F", 4), ("G", 1), ("G", 2), *(("P", i) for i in range(4))]
 
 
 def test_upserts_apply_once(spark):
     schema = "key string, day int, provider_id string, workdir_id int, model string, n int, source_fingerprint string, hourly_derived boolean"
-    stored = spark.createDataFrame([("a", 1, "p", 1, "unknown", 1, "f1", False), ("b", 1, "p", 2, "m", 2, "f2", True), ("c", 1, "p", 3, "m", 3, "f3", False), ("d", 2, "p", 3, "m", 4, "f4", False)], schema)
-    batch = spark.createDataFrame([("e", 1, "p", 1, "m", 10, "f5", False, "h1"), ("b", 1, "p", 2, "m", 20, "f2", False, "h1"), ("g", 1, "p", 9, "m", 30, "f3", False, "h1"), ("c", 1, "p", 3, "m", 40, "f3", False, "h1"), ("z", 1, "p", 3, "m", 50, "f9", False, "h0")], schema + ", batch_hash string")
+    stored = spark.createDataFrame([("a", 1, "p", 1, "unknown", 1, "f1", False), ("b", 1, "p", 2, "m", 2, "f2", True), ("c", 1, "p", 3, "m", 3, "f3", False), ("d", 2, "p", 3, "m", 4, "f4", False), ("x", 2, "p", 4, "m", 5, "", False), ("y", 2, "p", 5, "m", 6, None, False)], schema)
+    rows = [("e", 1, "p", 1, "m", 10, "f5", False, "h1"), ("b", 1, "p", 2, "m", 20, "f2", False, "h1"), ("g", 1, "p", 9, "m", 30, "f3", False, "h1"), ("k", 3, "p", 9, "m", 60, "", False, "h1"), ("k", 3, "p", 9, "m", 61, "", False, "h1"), ("z", 1, "p", 3, "m", 50, "f9", False, "h0")]
+    batch = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", batch_hash string, seq int")
     applied = spark.createDataFrame([("h0",)], "batch_hash string")
     once = K.legacy_upsert(stored, batch, applied, "key")
-    assert sorted((r.key, r.n) for r in once.collect()) == [("b", 2), ("c", 40), ("d", 4), ("e", 10)]
+    # c had g's fingerprint, a was e without a name; an empty fingerprint puts nothing out; of two rows for k the last counts
+    assert sorted((r.key, r.n) for r in once.collect()) == [("b", 2), ("d", 4), ("e", 10), ("g", 30), ("k", 61), ("x", 5), ("y", 6)]
+    batch = batch.drop("seq")
     snapshot = batch.where("key in ('b', 'e')").drop("batch_hash")
+    stored = stored.where("key in ('a', 'b', 'c', 'd')")
     daily = K.daily_upsert(stored, snapshot, "key", ["day", "provider_id"])
     assert sorted((r.key, r.n) for r in daily.collect()) == [("b", 2), ("d", 4), ("e", 10)]
     assert sorted(map(tuple, K.daily_upsert(daily, snapshot, "key", ["day", "provider_id"]).collect())) == sorted(map(tuple, daily.collect()))
@@ -134,8 +150,9 @@ def test_validation_and_forbidden_fields(spark):
     items = spark.createDataFrame([("2026-01-01", "a", "exact", 5, "5", "x" * 300), ("2026-1-1", "", "odd", -1, "-3", "r")], schema)
     good, bad = R.split_valid(items, ["provider_id"])
     assert good.count() == 1 and sorted(bad.first().problems) == ["bad_day", "bad_quality", "bad_total", "no_provider_id"]
-    public = R.public_item(items, ["day", "input_tokens", "raw_source_ref"]).collect()
-    assert [(r.input_tokens, r.total_tokens, len(r.raw_source_ref)) for r in public] == [(5, 5, 200), (0, 0, 1)]
+    traced = items.withColumn("raw_source_ref", F.concat(F.lit("  "), "raw_source_ref")).withColumns({"hour": F.lit(None).cast("int"), "provider_version": F.lit(" 1.2 "), "parser_version": F.lit("")})
+    public = R.public_item(traced.withColumn("source_quality", F.lit("")), ["day", "hour", "input_tokens", "raw_source_ref", "parser_version", "source_quality", "absent"]).collect()
+    assert [(r.hour, r.input_tokens, r.total_tokens, r.raw_source_ref, r.parser_version, r.source_quality) for r in public] == [(0, 5, 5, "x" * 160, "1.2", "unknown"), (0, 0, 0, "r", "1.2", "unknown")]
     nested = T.StructType.fromDDL("a int, b struct<Prompt:string, c:array<struct<cwd:string>>>")
     assert R.forbidden_fields(nested, {"prompt", "cwd"}) == ["b.Prompt", "b.c.cwd"]
     assert R.clamp(None, 1, 500, 50) == 50 and R.clamp(9999, 1, 500, 50) == 500
