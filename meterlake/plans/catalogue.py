@@ -21,8 +21,8 @@ _TOTAL = "CAST(sum(total_tokens) AS BIGINT) AS total_tokens"
 _IN_MONTH = f"day BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}'"
 
 
-def query(sql: str, hourly: bool = False, span=None, lean: bool = False):
-    """Register a function of (daily, hourly, people) under its own name.
+def query(sql: str, hourly: bool = False, span=None, lean: bool = False, first: str = "", people: bool = False):
+    """Register a function of (daily, hourly, people) under its own name; ``first`` has further relations that the SQL needs, ``people`` those of the participants.
 
     ``span`` limits what is read of the daily facts to some days, ``lean`` leaves the model out (and the join that finds it).
     """
@@ -32,7 +32,8 @@ def query(sql: str, hourly: bool = False, span=None, lean: bool = False):
             return f(S.daily_facts(spark, sf_dir, span, not lean), S.hourly_facts(spark, sf_dir), S.participants(spark, sf_dir))
 
         QUERIES[f.__name__] = run
-        ORACLE_SQL[f.__name__] = f"WITH {S.SQL_HOURLY if hourly else S.SQL_DAILY} {sql}"
+        given = [S.SQL_HOURLY if hourly else S.SQL_DAILY, *([S.SQL_PEOPLE] if people and hourly else []), *([first] if first else [])]
+        ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if first else ''}{', '.join(given)} {sql}"
         return f
 
     return register

@@ -64,6 +64,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations in SQL; queries put these before their own text.
+SQL_PEOPLE = "p AS (SELECT CAST(s_suppkey AS BIGINT) AS participant_id, s_name AS nickname, s_nationkey AS team_id FROM supplier)"
 SQL_DAILY = """u0 AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey AS BIGINT) AS participant_id,
  CAST(l_suppkey*10 + l_linenumber % 3 AS BIGINT) AS device_id, l_returnflag AS tool_code,
  l_returnflag || '_' || l_linestatus AS provider_id, CAST(l_orderkey % 40 AS BIGINT) AS workdir_id, p_brand AS model,
@@ -73,7 +74,7 @@ SQL_DAILY = """u0 AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey AS
  CASE WHEN l_linestatus='F' THEN 'exact' ELSE 'partial' END AS source_quality
  FROM lineitem JOIN part ON p_partkey = l_partkey),
 u AS (SELECT *, input_tokens+output_tokens+cache_read_tokens+cache_write_tokens AS total_tokens FROM u0),
-p AS (SELECT CAST(s_suppkey AS BIGINT) AS participant_id, s_name AS nickname, s_nationkey AS team_id FROM supplier)"""
+""" + SQL_PEOPLE
 SQL_HOURLY = """e0 AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events),
 e1 AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, user_id AS participant_id,
  user_id*10 + event_id % 3 AS device_id, event_type AS provider_id, 'm' || CAST(k % 12 AS VARCHAR) AS model,
