@@ -139,13 +139,13 @@ _WINDOWS = "SELECT event_id, CASE WHEN event_id%5<>0 THEN day END AS a, CASE WHE
 
 
 @query(
-    f"SELECT state, count(*) AS windows FROM (SELECT event_id, CASE WHEN bool_or(coalesce(w.day BETWEEN coalesce(a, w.day) AND coalesce(b, w.day), FALSE)) THEN 'stale' ELSE 'kept' END AS state FROM ({_WINDOWS}) x, (SELECT DISTINCT day FROM h WHERE event_id%250=0) w GROUP BY 1) GROUP BY 1",
+    f"SELECT state, count(*) AS windows FROM (SELECT event_id, CASE WHEN bool_or(coalesce(w.day BETWEEN coalesce(a, w.day) AND coalesce(b, w.day), FALSE)) THEN 'stale' ELSE 'kept' END AS state FROM ({_WINDOWS}) x, (SELECT DISTINCT day FROM h WHERE day(day)%9=0) w GROUP BY 1) GROUP BY 1",
     hourly=True,
 )
 def stale_windows(u, h, p):
     i = F.col("event_id")
     windows = h.where(i % 3 == 0).select(i.alias("key"), F.when(i % 5 != 0, F.col("day")).alias("first_day"), F.when(i % 7 != 0, F.date_add("day", (i % 4).cast("int"))).alias("last_day"), F.lit(0).alias("tolerance_ms"), F.lit(None).cast("timestamp").alias("expires_at"))
-    found = repricing.stale_windows(windows, h.where(i % 250 == 0).select("day"), date(2030, 1, 1), datetime(2030, 1, 1))
+    found = repricing.stale_windows(windows, h.where(F.dayofmonth("day") % 9 == 0).select("day"), date(2030, 1, 1), datetime(2030, 1, 1))
     return found.groupBy("state").agg(F.count("*").alias("windows"))
 
 

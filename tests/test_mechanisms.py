@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import os
 import random
 from datetime import date, datetime, timedelta
 from pathlib import Path
@@ -202,6 +203,7 @@ def test_key_ledgers_as_a_stream_and_as_a_table(spark, tmp_path):
     source.mkdir()
     for i in range(0, len(rounds), 25):
         (source / f"{i:05}.json").write_text("\n".join(json.dumps(b) for r in rounds[i : i + 25] for b in r))
+        os.utime(source / f"{i:05}.json", (1767225600 + i, 1767225600 + i))  # files are taken by their time
     schema = "key_id string, at timestamp, " + ", ".join(f"{c} long" for c in share_ledger.NUMBERS)
     last, ended = {}, []
 
