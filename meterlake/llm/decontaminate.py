@@ -20,9 +20,11 @@ seeds are counted first and broadcast only up to ``BROADCAST_ROWS`` (three numbe
 seed, in which Spark splits hot seeds. The documents of the shifts left are picked in the same way, and only they are
 read again. Words, positions and seeds are rows and array elements, not lambdas: all of it is compiled code.
 
-Edge cases: null and empty texts and items match nothing; repeated items are one each by id, the longer
-text kept; a repeated document row is reported once by id; an empty table on either side gives an
-empty result; further columns are ignored.
+Items and documents are told apart by id and text (items by a number each, documents by 128 bits), so ids may be null or
+clash, as in merged benchmarks: every text is searched for, and every row that has one is found.
+
+Edge cases: null and empty texts and items match nothing; an item or document row that is repeated, id and text, counts once; null ids
+are reported as null; an empty table on either side gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import materialize, row_key
+from meterlake.llm.shared import materialize
 
 SPAN = 6
 #: Places of a seed's second and third word.
 LAYOUTS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 SHARE, LEAST, PART = 0.5, 8, 7
 BROADCAST_ROWS = 500_000
+#: Most numbers or characters in all of a broadcast table's arrays and texts together.
+BROADCAST_SIZE = 16_000_000
 #: Size of the table of words that items have.
 FILTER_LONGS = 4096
 
@@ -90,33 +94,49 @@ def seeds(df: DataFrame, short: Sequence[int] = (), whole: bool = False, table:
     return each.select("key", "pos", F.explode_outer(F.array(*every)).alias("seed")).where("seed is not null")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """Rows id, item, item_words, matched: one for each document and item that it contains."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("item is not null").groupBy("item").agg(F.max_by("t", F.struct(F.length("t"), "t")).alias("t"))
-    items = items.select("item", _words(F.col("t")).alias("words")).where("words[0] <> ''").withColumn("n", F.size("words"))
+def document_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text."""
+    return F.struct(F.xxhash64(doc_id.isNull(), doc_id, text).alias("k1"), F.xxhash64(text, F.lit("document"), doc_id).alias("k2"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, share: float, least: int) -> DataFrame:
+    """Rows key (see :func:`document_key`), id, item, item_words, matched."""
+    given = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("t is not null").distinct()
+    items = given.select("item", "t", _words(F.col("t")).alias("words")).where("words[0] <> ''").withColumn("n", F.size("words"))
     need = F.greatest(F.ceil(share * F.col("n")), F.least(F.lit(least), "n"))
     hits = F.greatest(F.least(F.ceil((3 * need - F.col("n") - 5) / 2), F.lit(3)), F.lit(1))
-    items = materialize(items.select("item", "words", "n", need.alias("need"), hits.cast("int").alias("hits")))
+    # numbered once, when written
+    items = materialize(items.select(F.monotonically_increasing_id().alias("nr"), "item", "words", "n", need.alias("need"), hits.cast("int").alias("hits"), F.length("t").cast("long").alias("size")))
+    size = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     short = sorted(r.n for r in items.select("n").where("n < 3").distinct().collect())  # 1 and 2 at most
-    item_seeds = materialize(seeds(items.select(F.struct("item", "hits").alias("key"), "words"), short, whole=True).select("key.*", F.col("pos").alias("item_pos"), "seed"))
+    item_seeds = materialize(seeds(items.select(F.struct("nr", "hits").alias("key"), "words"), short, whole=True).select("key.*", F.col("pos").alias("item_pos"), "seed"))
     small = item_seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("key"), _words(F.col(text_col)).alias("words")).where("key is not null")
+    texts = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
     met = seeds(texts, short, table=word_table(items)).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    met = met.groupBy("key", "item", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
-
-    shifts = materialize(met.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts")))
-    few = shifts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(shifts) if few else shifts, "key").join((F.broadcast(items) if small else items).withColumnRenamed("words", "item_words"), "item")
-    each = found.select("key", "item", "n", "need", "words", "item_words", F.explode_outer("shifts").alias("shift")).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    met = met.groupBy("key", "nr", "hits", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("c")).where("c >= hits")
+
+    shifts = materialize(met.groupBy("key", "nr").agg(F.collect_list("shift").alias("shifts")))
+    rows, numbers = shifts.agg(F.count("*"), F.coalesce(F.sum(F.size("shifts")), F.lit(0))).first()
+    few = rows <= BROADCAST_ROWS and numbers <= BROADCAST_SIZE
+    plain = items.select("nr", "item", "n", "need", F.col("words").alias("item_words"))
+    found = texts.join(F.broadcast(shifts) if few else shifts, "key").join(F.broadcast(plain) if small and size <= BROADCAST_SIZE else plain, "nr")
+    each = found.select("key", "id", "nr", "item", "n", "need", "words", "item_words", F.explode_outer("shifts").alias("shift")).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     at = F.col("j") + F.col("shift")
     agree = each.where((at >= 0) & (F.get("words", at) == F.get("item_words", "j")))
-    parts = agree.groupBy("key", "item", "n", "need", "shift").agg(F.collect_set("j").alias("js")).where(F.size("js") >= F.least(F.lit(PART), "n"))
-    kept = parts.select("key", "item", "n", "need", F.explode("js").alias("j")).groupBy("key", "item", "n", "need").agg(F.count_distinct("j").cast("int").alias("matched")).where("matched >= need")
-    return kept.select(F.col("key").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("item_words"), "matched")
+    of = ["key", "id", "nr", "item", "n", "need"]
+    parts = agree.groupBy(*of, "shift").agg(F.collect_set("j").alias("js")).where(F.size("js") >= F.least(F.lit(PART), "n"))
+    kept = parts.select(*of, F.explode("js").alias("j")).groupBy(*of).agg(F.count_distinct("j").cast("int").alias("matched")).where("matched >= need")
+    return kept.select("key", "id", "item", F.col("n").alias("item_words"), "matched")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """Rows id, item, item_words, matched: one for each document and item that it contains."""
+    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, share, least)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "item_words", "matched")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose text no benchmark item contaminates, by id and text: ids may be null or clash."""
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    found = find(keyed, benchmark, id_col="__key", text_col=text_col, **options)
-    return keyed.join(found.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)
+    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, share, least)
+    keyed = docs.withColumn("__key", document_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(found.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)

@@ -248,6 +248,39 @@ def test_op9_ends_on_repetitive_text(spark):
     assert sorted((r.doc_id, r.matched) for r in decontaminate.find(docs, bench).collect()) == [(1, 200), (2, 200), (3, 100)]
 
 
+def test_op9_tells_clashing_and_null_ids_apart(spark, monkeypatch):
+    items = [(1, prose(500, 30)), (1, prose(501, 40)), (None, prose(502, 20)), (1, prose(500, 30)), (2, None)]
+    docs = [(7, prose(1, 50) + " " + prose(500, 30)), (7, prose(501, 40)), (None, prose(502, 20)), (None, prose(500, 30) + " more"), (8, prose(9, 60)), (8, None), (None, None), (7, prose(501, 40))]
+    want = [("7", "1", 30), ("7", "1", 40), ("None", "1", 30), ("None", "None", 20)]
+    for rows, size in ((500_000, 16_000_000), (2, 3)):  # the second: nothing is broadcast
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "BROADCAST_SIZE", size)
+        documents, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+        assert sorted((str(r.doc_id), str(r.item_id), r.matched) for r in decontaminate.find(documents, bench).collect()) == want
+        assert sorted((str(r.doc_id), r.text is None) for r in decontaminate.remove(documents, bench).collect()) == [("8", False), ("8", True), ("None", True)]
+
+
+def test_pipeline_keeps_columns_of_any_type(spark):
+    import corpus_pipeline
+
+    rows = [(1, prose(1, 40), {"a": 1}), (1, prose(1, 40), {"a": 0}), (2, prose(2, 40), None), (3, prose(2, 40) + " end", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert sorted((r.doc_id, r.tags) for r in got.collect()) == [(1, {"a": 0}), (2, None)] and got.columns == docs.columns
+
+
+def test_op8_sample_is_of_different_texts(spark, monkeypatch):
+    from meterlake.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "SAMPLE_ROWS", 5)
+    texts = [prose(i, 5) for i in range(12)]
+    df = spark.createDataFrame([(t,) for i, t in enumerate(texts) for _ in range(1 + 200 * (i < 2))], "text string")
+    want = {r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).limit(5).collect()}
+    got = [r.text for r in lm_score._sample(df.repartition(4)).collect()]
+    assert len(got) == 5 and set(got) == want
+    assert lm_score._sample(df.limit(0)).count() == 0
+
+
 SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
@@ -268,6 +301,6 @@ def test_repeated_rows_nulls_and_clashing_names(spark, tmp_path):
     spark.createDataFrame([(1, 0, "assistant", "a", "x"), (1, 0, "assistant", "a", "x"), (None, None, None, None, None)], SCHEMAS["conversations"] + ", window string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(1, [0.5] * 64, 1, "x"), (1, [0.5] * 64, 1, "x"), (None, [1.5] * 64, None, "x"), (None, None, None, None)], SCHEMAS["embeddings"] + ", cluster string").write.parquet(f"{tmp_path}/embeddings.parquet")
     counts = {name: query(spark, str(tmp_path)).count() for name, query in queries.QUERIES.items() if name != "pipeline"}
-    assert counts == {"op1_near_dedup": 4, "op2_toxicity": 7, "op3_fingerprint": 7, "op4_chat_format": 3, "op5_pack": counts["op5_pack"], "op6_url_filter": 4, "op7_language_id": 7, "op8_lm_score": 7, "op9_decontaminate": 0, "op10_substring_dedup": 7, "op11_centroids": 3, "op12_conversation_repair": 2, "op13_pattern_pack": counts["op13_pattern_pack"]}
+    assert counts == {"op1_near_dedup": 4, "op2_toxicity": 7, "op3_fingerprint": 7, "op4_chat_format": 3, "op5_pack": counts["op5_pack"], "op6_url_filter": 4, "op7_language_id": 7, "op8_lm_score": 7, "op9_decontaminate": 1, "op10_substring_dedup": 7, "op11_centroids": 3, "op12_conversation_repair": 2, "op13_pattern_pack": counts["op13_pattern_pack"]}
     # the null id's text is a benchmark item, the repeats and empty texts go; the other columns stay
     assert queries.QUERIES["pipeline"](spark, str(tmp_path)).select("doc_id").distinct().orderBy("doc_id").collect() == [(1,), (3,)]
