@@ -29,8 +29,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("x"))
     stay = keyed.join(least.select("x.__key"), "__key", "left_semi")
     rows, keys = keyed.agg(F.count("*"), F.count_distinct("__key")).first()
-    # of rows repeated under one id and text the least is taken, the same one whenever it is computed
-    return stay.select(*docs.columns) if rows == keys else stay.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    if rows == keys:
+        return stay.select(*docs.columns)
+    # of rows repeated under one id and text one is taken, the same whenever it is computed: by the text of their other columns, which may be of any type
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    return stay.groupBy("__key", "doc_id", "text").agg(F.min_by(F.struct(*docs.columns), others).alias("x")).select("x.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
