@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterlake.operators.lifecycle import COUNTS, SCOPE, keep_first
+from meterlake.operators.pricing import with_cost
 
 _MEASURES = [*COUNTS, "total_tokens"]
 
@@ -197,6 +198,58 @@ def merged_summaries(history: DataFrame, window: DataFrame, key: str = "day") ->
     return history.join(w, key, "full").select(key, *[F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in cols])
 
 
+def compared_sync(client: DataFrame, buckets: DataFrame, facts: DataFrame, today: date, scope: list[str], full: bool = False, days: int = 35) -> DataFrame:
+    """What a client's buckets (scope, granularity, fingerprint) are to the server: missing, different, matched, or unknown_legacy.
+
+    ``buckets`` is what the server remembers, ``facts`` the fingerprints of its stored rows; both have scope, granularity and fingerprint. Facts count
+    before what is remembered. Only a full comparison goes back beyond ``days`` and names buckets without a granularity; else these count as hourly.
+    """
+    asked = client if full else client.where(F.col("day") >= F.lit(today - timedelta(days=days)))
+    asked = asked.withColumn("granularity", F.coalesce(F.nullif("granularity", F.lit("")), F.lit("unknown_legacy" if full else "hourly")))
+    keys = [*scope, "granularity"]
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("fingerprint").alias(name))
+
+    out = asked
+    for df, name in ((buckets, "__told"), (facts, "__facts")):
+        other = named(df, name)
+        # a day's bucket has no hour
+        out = out.join(other, [out[k].eqNullSafe(other[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    server = F.coalesce(F.nullif("__facts", F.lit("")), F.nullif("__told", F.lit("")), F.lit(""))
+    status = F.when(F.col("granularity") == "unknown_legacy", "unknown_legacy").when(F.col("__told").isNull() & (F.coalesce("__facts", F.lit("")) == ""), "missing").when(server == F.coalesce("fingerprint", F.lit("")), "matched").otherwise("different")
+    return out.select(*client.columns, status.alias("status"), F.when(status == "different", server).alias("server_fingerprint"))
+
+
+def scope_page(tables: list[DataFrame], scope: list[str], cursor: tuple | None, limit: int = 250, most: int = 250) -> DataFrame:
+    """One page of the scopes that any of the tables has, after ``cursor`` (a scope's values) in their order; ``more`` says whether others follow."""
+    limit = max(1, min(limit, most))
+    found = tables[0].select(*scope)
+    for t in tables[1:]:
+        found = found.unionByName(t.select(*scope))
+    found = found.dropna(subset=scope)
+    if cursor is not None:
+        after, equal = F.lit(False), F.lit(True)
+        for c, v in zip(scope, cursor, strict=True):
+            after, equal = after | (equal & (F.col(c) > F.lit(v))), equal & (F.col(c) == F.lit(v))
+        found = found.where(after)
+    page = found.distinct().orderBy(*scope).limit(limit + 1)  # a page of ``most`` rows
+    numbered = page.withColumn("__n", F.row_number().over(Window.orderBy(*scope)))
+    return numbered.withColumn("more", F.max("__n").over(Window.partitionBy()) > limit).where(F.col("__n") <= limit).drop("__n")
+
+
+def migrated(rows: DataFrame, key: str, prices: DataFrame) -> DataFrame:
+    """Old rows as they would be written now: a digest of their key where they have none, their total made anew, and costs where these are missing or the total was another."""
+    old = F.coalesce("source_fingerprint", F.lit("")) == ""
+    legacy = lambda c: F.when(old, F.coalesce(F.nullif(c, F.lit("")), F.lit("legacy"))).otherwise(F.col(c))
+    total = sum((F.coalesce(c, F.lit(0)) for c in COUNTS if c in rows.columns and c != "reasoning_tokens"), F.lit(0).cast("long"))
+    again = F.col("cost_quality").isNull() | (F.col("cost_quality") == "") | ~F.col("total_tokens").eqNullSafe(total)
+    marked = rows.withColumns({**{c: legacy(c) for c in ("raw_source_ref", "provider_version", "parser_version") if c in rows.columns}, "source_fingerprint": F.when(old, F.sha2(F.concat(F.lit("legacy|"), F.col(key).cast("string")), 256)).otherwise(F.col("source_fingerprint")), "__again": again, "total_tokens": total})
+    priced = with_cost(marked.withColumnsRenamed({"cost": "__cost", "cost_quality": "__quality"}), prices)
+    both = priced.withColumns({"cost": F.when(F.col("__again"), F.col("cost")).otherwise(F.col("__cost")), "cost_quality": F.when(F.col("__again"), F.col("cost_quality")).otherwise(F.col("__quality"))})
+    return both.select(*rows.columns)
+
+
 def request_buckets(requests: DataFrame) -> DataFrame:
     """Hour buckets of gateway requests: a row a model, with calls and errors."""
     return requests.groupBy(*SCOPE, "model").agg(*[F.sum(c).alias(c) for c in _measures(requests)], F.count("*").alias("calls"), F.count_if(F.col("status") >= 400).alias("errors"))

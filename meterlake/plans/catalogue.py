@@ -33,7 +33,7 @@ def query(sql: str, hourly: bool = False, span=None, lean: bool = False, first:
 
         QUERIES[f.__name__] = run
         given = [S.SQL_HOURLY if hourly else S.SQL_DAILY, *([S.SQL_PEOPLE] if people and hourly else []), *([first] if first else [])]
-        ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if first else ''}{', '.join(given)} {sql}"
+        ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if first else ''}{', '.join(given)}{'' if sql.startswith(',') else ' '}{sql}"
         return f
 
     return register

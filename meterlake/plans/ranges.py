@@ -61,3 +61,28 @@ def resolve_range(name: str, business_day: date, start: str | None = None, end:
 def trend_grain(name: str) -> str:
     """Grain of an overview's trend for a range."""
     return {"today": "hour", "7d": "day", "last7": "day", "30d": "week", "last30": "week"}.get(name, "month")
+
+
+def share_bounds(period: str, business_day: date) -> tuple[date, date]:
+    """First and last day of a share card's period; an unknown one is the day itself."""
+    named = ("today", "this_week", "last_week", "this_month", "last_month", "7d", "30d")
+    return resolve_range(period if period in named else "today", business_day) or (business_day, business_day)
+
+
+def share_grain(period: str) -> str:
+    """Grain of a share card's trend."""
+    return {"today": "hour", "30d": "week", "this_month": "week", "last_month": "week", "all": "month"}.get(period, "day")
+
+
+def board_range(text: str) -> dict[str, str]:
+    """What a board is asked for by a range given as text: a named range, or a pair of days of which one may be left out."""
+    if text in ("today", "yesterday", "7d", "last7", "30d", "last30", "all"):
+        return {"range": text}
+    first, dots, last = text.partition("..")
+    if dots and all(not x or _possible(x) for x in (first, last)):
+        return {"range": "custom", **{k: v for k, v in (("start", first), ("end", last)) if v}}
+    raise ValueError(f"not a range: {text!r}; use today, yesterday, 7d, 30d, all or YYYY-MM-DD..YYYY-MM-DD")
+
+
+def _possible(text: str) -> bool:
+    return is_day(text) and text.isascii() and 1 <= int(text[5:7]) <= 12 and 1 <= int(text[8:]) <= 31

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterlake.operators.ledger import without_replay
+from meterlake.sources.files import source_files
 from meterlake.sources.packed import packed_lines
 
 EVENT = ["provider_id", "session_id", "ts", "workdir", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens", "source_quality", "dedup_key", "source_file"]
@@ -114,18 +115,40 @@ def cumulative_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compacted_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Usage records that wait for a compaction: they count once a ``compacted`` row names their response, unless the next cumulative
-    count of the session is just their usage, which then has them already. Columns file, session_id, response_id and counts."""
+    """Usage records that a compaction would swallow, as usage events with their response_id.
+
+    A record waits until a ``compacted`` row names its response, before or after it. It does not count if a cumulative count that comes
+    before that, while it is the latest record, has just its usage. Of several records of one response the first counts.
+    """
     counts = _USAGE.replace(" bigint", ":bigint").replace(", ", ",")
-    schema = f"type string, payload struct<id:string,type:string,response_id:string,compaction_response_id:string,usage:struct<{counts}>,info:struct<last_token_usage:struct<{counts}>>>"
-    r = json_lines(spark, path, schema).select("file", "line", "r.*")
-    r = r.withColumn("session_id", fill_down(F.when(F.col("type") == "session_meta", F.col("payload.id"))))
-    following = F.first("payload.info.last_token_usage", ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing))
-    records = r.withColumn("following", following).where("type = 'token_usage_record' and payload.response_id is not null")
-    named = r.where("type = 'compacted'").select("file", F.col("payload.compaction_response_id").alias("response_id")).where("response_id is not null").distinct()
-    same = F.coalesce((F.col("payload.usage.input_tokens") == F.col("following.input_tokens")) & (F.col("payload.usage.output_tokens") == F.col("following.output_tokens")), F.lit(False))
+    schema = f"timestamp string, type string, cwd string, model string, payload struct<id:string,cwd:string,model:string,type:string,response_id:string,compaction_response_id:string,usage:struct<{counts}>>"
+    r = json_lines(spark, path, schema, packed="*.jsonl.zst").select("file", "line", "r.*")
+    r = r.withColumn("session_id", fill_down(F.when(F.col("type") == "session_meta", F.col("payload.id")))).withColumn("model", fill_down(F.coalesce("model", "payload.model"))).withColumn("workdir", fill_down(F.coalesce("cwd", "payload.cwd")))
     u = "payload.usage"
-    return records.where(~same).select("file", "session_id", F.col("payload.response_id").alias("response_id"), number(F.col(f"{u}.input_tokens")).alias("input_tokens"), number(F.col(f"{u}.output_tokens")).alias("output_tokens"), number(F.col(f"{u}.cached_input_tokens")).alias("cache_read_tokens")).join(named, ["file", "response_id"], "left_semi")
+    read, write = number(F.col(f"{u}.cached_input_tokens")), number(F.col(f"{u}.cache_creation_input_tokens"))
+    name = lambda c: F.nullif(F.trim(c), F.lit(""))
+    records = r.where((F.col("type") == "token_usage_record") & name("payload.response_id").isNotNull() & F.col(u).isNotNull()).select(
+        "file", "line", name("payload.response_id").alias("response_id"), "session_id", timestamp(F.col("timestamp")).alias("ts"), "workdir", F.lower(F.trim("model")).alias("model"), number(F.col(f"{u}.input_tokens")).alias("raw_input"), read.alias("cache_read_tokens"), write.alias("cache_write_tokens"),
+        number(F.col(f"{u}.output_tokens")).alias("output_tokens"), F.greatest(number(F.col(f"{u}.reasoning_output_tokens")), number(F.col(f"{u}.reasoning_tokens"))).alias("reasoning_tokens"),
+    )
+    first = records.groupBy("file", "response_id").agg(F.min_by(F.struct(*[c for c in records.columns if c not in ("file", "response_id")]), "line").alias("x")).select("file", "response_id", "x.*")
+    named = r.where("type = 'compacted'").select("file", "line", name("payload.compaction_response_id").alias("response_id")).where("response_id is not null").groupBy("file", "response_id").agg(F.min("line").alias("named"))
+    usage = ["raw_input", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
+    counted = session_counts(spark, path).select("file", "line", F.struct(F.col("raw_input"), "cache_read_tokens", "cache_write_tokens", F.col("raw_output").alias("output_tokens")).alias("counted"))
+    # each count with the latest record before it
+    both = records.select("file", "line", "response_id").unionByName(counted, allowMissingColumns=True)
+    latest = both.withColumn("response_id", fill_down(F.col("response_id"))).where("counted is not null and response_id is not null")
+    told = latest.join(first.select("file", "response_id", F.struct(*usage).alias("mine")), ["file", "response_id"]).where(F.col("mine").eqNullSafe(F.col("counted")))
+    told = told.groupBy("file", "response_id").agg(F.collect_list("line").alias("told"))  # lines of equal counts that follow one record
+    due = first.join(named, ["file", "response_id"]).join(told, ["file", "response_id"], "left").withColumn("at", F.greatest("line", "named"))
+    kept = due.where(~F.coalesce(F.exists("told", lambda x: (x > F.col("line")) & (x < F.col("at"))), F.lit(False)))
+    events = kept.withColumn("input_tokens", F.greatest(F.col("raw_input") - F.col("cache_read_tokens") - F.col("cache_write_tokens"), F.lit(0))).withColumn("dedup_key", F.concat_ws("|", F.lit("record"), "session_id", "response_id"))
+    return finished(events, "codex_local").join(events.select(F.col("file").alias("source_file"), "dedup_key", "response_id"), ["source_file", "dedup_key"]).select(*EVENT, "response_id")
+
+
+def all_session_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Cumulative session logs whole: their counts, without replays, and the records that compactions swallowed."""
+    return cumulative_sessions(spark, path).unionByName(compacted_usage(spark, path).drop("response_id"))
 
 
 def message_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -148,9 +171,10 @@ def message_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_sessions(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
-    """Wire logs of usage records; sessions find their folder in an index whose last row wins."""
+    """Wire logs of usage records; sessions find their folder in an index whose last row wins. A time that is not in milliseconds is that of the file."""
     schema = "type string, model string, usage struct<inputOther:bigint,output:bigint,inputCacheRead:bigint,inputCacheCreation:bigint>, time double"
-    r = json_lines(spark, path, schema, "wire.jsonl").select("file", "line", "r.*").where("type = 'usage.record'")
+    changed = source_files(spark, path, "wire.jsonl").select(F.col("path").alias("file"), "changed")
+    r = json_lines(spark, path, schema, "wire.jsonl").select("file", "line", "r.*").where("type = 'usage.record'").join(changed, "file", "left")
     r = r.withColumn("session_id", F.regexp_extract("file", r"/sessions/[^/]+/([^/]+)/", 1))
     if index is not None:
         last = index.groupBy("sessionId").agg(F.max_by("workDir", "line").alias("workdir"))
@@ -159,7 +183,7 @@ def record_sessions(spark: SparkSession, path: str, index: DataFrame | None = No
         r = r.withColumn("workdir", F.lit(None).cast("string"))
     u = "usage"
     shaped = r.select(
-        "file", "session_id", F.timestamp_millis(F.when(F.col("time") > 1e12, F.col("time")).cast("long")).alias("ts"), "workdir", F.lower(F.trim("model")).alias("model"), number(F.col(f"{u}.inputOther")).alias("input_tokens"), number(F.col(f"{u}.output")).alias("output_tokens"),
+        "file", "session_id", F.coalesce(F.timestamp_millis(F.when(F.col("time") > 1e12, F.col("time")).cast("long")), "changed").alias("ts"), "workdir", F.lower(F.trim("model")).alias("model"), number(F.col(f"{u}.inputOther")).alias("input_tokens"), number(F.col(f"{u}.output")).alias("output_tokens"),
         number(F.col(f"{u}.inputCacheRead")).alias("cache_read_tokens"), number(F.col(f"{u}.inputCacheCreation")).alias("cache_write_tokens"), F.lit(0).cast("long").alias("reasoning_tokens"), F.concat_ws(":", "file", "line").alias("dedup_key"),
     )
     return finished(shaped, "kimi_local")

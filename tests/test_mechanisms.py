@@ -89,6 +89,46 @@ def test_forks_count_once_from_the_log_on(spark, tmp_path):
     assert got == [("b", 10), ("f", 30), ("g", 7), ("g", 8), ("o", 9), ("p", 10), ("p", 20), ("p", 30), ("q", 4), ("q", 5)]
 
 
+def test_records_that_compactions_swallow(spark, tmp_path):
+    def record(name, i, o):
+        return {"timestamp": at(3), "type": "token_usage_record", "payload": {"response_id": name, "usage": use(i, o)}}
+
+    def compacted(name):
+        return {"type": "compacted", "payload": {"compaction_response_id": name}}
+
+    turn = {"type": "turn_context", "payload": {"model": " GPT-X "}}
+    rows = [meta("s"), turn, record("a", 5, 1), compacted("a"), count(at(4), 5, 1)]  # named before the count came: both count
+    rows += [record("b", 7, 7), count(at(5), 7, 7), compacted("b")]  # the count has it already
+    rows += [compacted("c"), record("c", 9, 9)]  # named before
+    rows += [record("d", 3, 3), record("d", 4, 4), compacted("d")]  # the first of one response
+    rows += [record("e", 6, 6), record("f", 1, 1), count(at(6), 6, 6), compacted("e"), record("g", 2, 2)]  # e was not the latest; f and g are never named
+    where = log(tmp_path / "s.jsonl", *rows)
+    got = {r.response_id: (r.session_id, r.model, r.workdir, r.total_tokens, str(r.ts)) for r in logs.compacted_usage(spark, where).collect()}
+    assert got == {k: ("s", "gpt-x", "/s", n, "2026-01-01 10:03:00") for k, n in (("a", 6), ("c", 18), ("d", 6), ("e", 12))}
+    assert sum(r.total_tokens for r in logs.all_session_usage(spark, where).collect()) == 42 + 6 + 14 + 12
+
+
+def test_wire_logs_without_a_time_have_the_files(spark, tmp_path):
+    where = tmp_path / "sessions" / "g" / "s1" / "wire.jsonl"
+    use = {"inputOther": 5, "output": 2, "inputCacheRead": 1, "inputCacheCreation": 0}
+    log(where, {"type": "usage.record", "model": "K", "usage": use, "time": 1767225600000}, {"type": "usage.record", "model": "K", "usage": use, "time": 12}, {"type": "other"})
+    os.utime(where, (1700000000, 1700000000))
+    got = sorted((str(r.ts), r.session_id, r.total_tokens) for r in logs.record_sessions(spark, str(tmp_path)).collect())
+    assert got == [("2023-11-14 22:13:20", "s1", 8), ("2026-01-01 00:00:00", "s1", 8)]
+
+
+def test_ranges_of_cards_and_boards():
+    from meterlake.plans import ranges
+
+    day = date(2026, 3, 4)
+    assert [ranges.share_bounds(p, day) for p in ("today", "this_week", "last_week", "this_month", "last_month", "7d", "30d", "other")] == [(day, day), (date(2026, 3, 2), day), (date(2026, 2, 23), date(2026, 3, 1)), (date(2026, 3, 1), day), (date(2026, 2, 1), date(2026, 2, 28)), (date(2026, 2, 26), day), (date(2026, 2, 3), day), (day, day)]
+    assert [ranges.share_grain(p) for p in ("today", "7d", "this_week", "30d", "last_month", "last_week", "all", "x")] == ["hour", "day", "day", "week", "week", "day", "month", "day"]
+    assert ranges.board_range("last7") == {"range": "last7"} and ranges.board_range("2026-01-01..") == {"range": "custom", "start": "2026-01-01"} and ranges.board_range("..") == {"range": "custom"}
+    for bad in ("", "week", "2026-13-01..", "2026-01-01", "2026-1-1..2026-01-02"):
+        with pytest.raises(ValueError):
+            ranges.board_range(bad)
+
+
 def test_logs_of_many_frames_and_torn_tails(spark, tmp_path):
     rows = [{"type": "session", "version": 0, "id": "i", "cwd": "/w"}] + [{"type": "message", "seq": s, "time": "2026-01-01T10:00:00Z", "data": {"message": {"source": {"model": "m"}}, "usage": {"inputTokens": 10**s, "outputTokens": 1}}} for s in range(1, 6)]
     total = lambda where: sum(r.total_tokens for r in logs.seeded_sessions(spark, where, exact_names=True).collect())
