@@ -124,9 +124,12 @@ def percentile_of(rank: Column, n: Column) -> Column:
 
 
 def concentration(usage: DataFrame, cuts=(1, 5, 10)) -> DataFrame:
-    r = ranked(totals_by(usage.withColumn("month", bucket("month")), "month", "participant_id", cols=["total_tokens"]), "participant_id", within=["month"])
-    total = F.sum("total_tokens")
-    return r.groupBy("month").agg(total.alias("total_tokens"), F.count("*").alias("participants"), *[ratio(F.sum(F.when(F.col("rank") <= k, F.col("total_tokens")).otherwise(0)), total).alias(f"top{k}_share") for k in cuts])
+    """Share of each month's largest people. Totals are a plain aggregate; only the largest, which tasks limit before the shuffle, are ranked."""
+    monthly = totals_by(usage.withColumn("month", bucket("month")), "month", "participant_id", cols=["total_tokens"])
+    total = monthly.groupBy("month").agg(F.sum("total_tokens").alias("all"), F.count("*").alias("participants"))
+    first = ranked(monthly, "participant_id", within=["month"]).where(F.col("rank") <= max(cuts))
+    largest = first.groupBy("month").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("total_tokens")).otherwise(0)).alias(f"t{k}") for k in cuts])
+    return total.join(largest, "month").select("month", F.col("all").alias("total_tokens"), "participants", *[ratio(F.col(f"t{k}"), F.col("all")).alias(f"top{k}_share") for k in cuts])
 
 
 def share_of_total(usage: DataFrame, key: str) -> DataFrame:

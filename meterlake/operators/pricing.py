@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Provider prefixes under which a model's price may be listed.
 PREFIXES = ("openai", "anthropic", "google", "meta-llama", "qwen", "deepseek", "mistralai")
@@ -23,11 +22,15 @@ def price_name(c: Column) -> Column:
 
 def price_map(remote: DataFrame, custom: DataFrame, aliases: DataFrame) -> DataFrame:
     """Custom prices go over remote ones; an alias (source, target) goes over both if its target has a price."""
+    def first(rows: DataFrame) -> DataFrame:
+        # the largest order counts, then the least rates
+        return rows.groupBy("model").agg(F.min(F.struct((-F.col("order")).alias("o"), *RATES)).alias("r")).select("model", *[f"r.{c}" for c in RATES])
+
     both = remote.select("model", *RATES, F.lit(1).alias("order")).unionByName(custom.select("model", *RATES, F.lit(2).alias("order"))).withColumn("model", price_name(F.col("model")))
-    best = both.withColumn("n", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("order"), *RATES))).where("n = 1").drop("n")
+    best = first(both)
     a = aliases.select(price_name(F.col("source")).alias("source"), price_name(F.col("target")).alias("target")).where("source <> target")
     named = a.join(best, a.target == best.model).select(F.col("source").alias("model"), *RATES, F.lit(3).alias("order"))
-    return best.unionByName(named).withColumn("n", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("order"), *RATES))).where("n = 1").select("model", *RATES)
+    return first(best.select("model", *RATES, F.lit(0).alias("order")).unionByName(named))
 
 
 def candidates(model: Column) -> Column:
@@ -37,12 +40,19 @@ def candidates(model: Column) -> Column:
     return F.array(name, bare, *[F.concat(F.lit(f"{p}/"), n) for n in (name, bare) for p in PREFIXES])
 
 
-def with_cost(usage: DataFrame, prices: DataFrame, model_col: str = "model", digits: int = 6) -> DataFrame:
-    """Adds cost (null without a price) and cost_quality. Models are resolved once each, not row by row."""
-    models = usage.select(F.col(model_col).alias("__model")).distinct()
-    tried = models.select("__model", F.posexplode(candidates(F.col("__model"))).alias("at", "model"))
-    found = tried.join(prices, "model").withColumn("n", F.row_number().over(Window.partitionBy("__model").orderBy("at"))).where("n = 1")
-    joined = usage.join(found.select("__model", "at", *RATES), F.col(model_col).eqNullSafe(F.col("__model")), "left")
+def with_cost(usage: DataFrame, prices: DataFrame, model_col: str = "model", summed: bool = False) -> DataFrame:
+    """Adds cost (null without a price) and cost_quality. Models are resolved once each, not row by row; ``summed`` says that ``usage`` has been summed to few rows that all
+    differ, which are then resolved themselves, so that they are made once."""
+    if summed:
+        tried = usage.select("*", F.posexplode(candidates(F.col(model_col))).alias("at", "__name"))
+        met = tried.join(prices.select(F.col("model").alias("__priced"), *RATES), F.col("__name") == F.col("__priced"), "left")
+        hit = F.when(F.col("__priced").isNotNull(), F.struct("at", *RATES))
+        joined = met.groupBy(*usage.columns).agg(F.min(hit).alias("__hit")).select(*usage.columns, "__hit.*")
+    else:
+        models = usage.select(F.col(model_col).alias("__model")).distinct()
+        tried = models.select("__model", F.posexplode(candidates(F.col("__model"))).alias("at", "model"))
+        found = tried.join(prices, "model").groupBy("__model").agg(F.min(F.struct("at", *RATES)).alias("r")).select("__model", "r.*")
+        joined = usage.join(found, F.col(model_col).eqNullSafe(F.col("__model")), "left").drop("__model")
     cost = (
         F.col("input_tokens") * F.col("input_rate")
         + F.col("output_tokens") * F.col("output_rate")
@@ -50,7 +60,7 @@ def with_cost(usage: DataFrame, prices: DataFrame, model_col: str = "model", dig
         + F.col("cache_write_tokens") * F.coalesce("cache_write_rate", "input_rate")
     ) / 1e6
     kind = F.when(F.col("at").isNull(), QUALITIES[2]).when(F.col("at") == 0, QUALITIES[0]).otherwise(QUALITIES[1])
-    return joined.withColumn("cost", cost).withColumn("cost_quality", kind).drop("__model", "at", *RATES)
+    return joined.withColumn("cost", cost).withColumn("cost_quality", kind).drop("at", *RATES)
 
 
 def cost_summary(costed: DataFrame, *keys: str, digits: int = 6) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ _IN_MONTH = f"day BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}'"
 def query(sql: str, hourly: bool = False, span=None, lean: bool = False, first: str = "", people: bool = False):
     """Register a function of (daily, hourly, people) under its own name; ``first`` has further relations that the SQL needs, ``people`` those of the participants.
 
-    ``span`` limits what is read of the daily facts to some days, ``lean`` leaves the model out (and the join that finds it).
+    ``span`` limits what is read of the daily facts to some days, ``lean`` leaves the model out and the join that finds it: that is a left join on the parts' unique key, which no line is lost or doubled by.
     """
 
     def register(f):
@@ -59,7 +61,7 @@ def leaderboard_all(u, h, p):
     return A.leaderboard(u, p)
 
 
-@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY total_tokens DESC, participant_id) AS rank FROM (SELECT provider_id, participant_id, {_TOTAL} FROM u GROUP BY 1,2)) WHERE rank<=10")
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY total_tokens DESC, participant_id) AS rank FROM (SELECT provider_id, participant_id, {_TOTAL} FROM u GROUP BY 1,2)) WHERE rank<=10", lean=True)
 def source_leaderboard_topk(u, h, p):
     return A.top_in_group(u, "provider_id", "participant_id", 10)
 
@@ -68,7 +70,7 @@ _PERIODS = {n: resolve_range(n, DAY) for n in ("today", "yesterday", "this_week"
 _PERIOD_SQL = ", ".join(f"CAST(coalesce(sum({'total_tokens' if s is None else f'''CASE WHEN day BETWEEN DATE '{s[0]}' AND DATE '{s[1]}' THEN total_tokens END'''}),0) AS BIGINT) AS {n}" for n, s in _PERIODS.items())
 
 
-@query(f"SELECT {_PERIOD_SQL}, count(DISTINCT participant_id) AS participants FROM u")
+@query(f"SELECT {_PERIOD_SQL}, count(DISTINCT participant_id) AS participants FROM u", lean=True)
 def board_summary(u, h, p):
     return u.agg(*A.period_sums(u, _PERIODS), F.count_distinct("participant_id").alias("participants"))
 
@@ -119,7 +121,7 @@ def hourly_by_weekday(u, h, p):
 
 @query("""SELECT participant_id, arg_max(length, last) AS current_streak, max(length) AS best_streak, CAST(sum(length) AS BIGINT) AS active_days, max(last) AS last_day FROM
  (SELECT participant_id, count(*) AS length, max(day) AS last FROM (SELECT participant_id, day, day - CAST(row_number() OVER (PARTITION BY participant_id ORDER BY day) AS INTEGER) AS island
- FROM (SELECT DISTINCT participant_id, day FROM u WHERE total_tokens>0)) GROUP BY participant_id, island) GROUP BY 1""")
+ FROM (SELECT DISTINCT participant_id, day FROM u WHERE total_tokens>0)) GROUP BY participant_id, island) GROUP BY 1""", lean=True)
 def profile_streaks(u, h, p):
     return A.streaks(u)
 
@@ -132,12 +134,12 @@ def profile_peak_day(u, h, p):
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY month ORDER BY total_tokens DESC, participant_id) AS rank FROM (SELECT CAST(date_trunc('month', day) AS DATE) AS month, participant_id, {_TOTAL} FROM u GROUP BY 1,2)"
 
 
-@query(f"SELECT *, count(*) OVER (PARTITION BY month) AS participants FROM ({_RANKED})")
+@query(f"SELECT *, count(*) OVER (PARTITION BY month) AS participants FROM ({_RANKED})", lean=True)
 def monthly_ranks(u, h, p):
     return A.month_ranks(u)
 
 
-@query(f"SELECT month, {_TOTAL}, count(*) AS participants, " + ", ".join(f"round(sum(CASE WHEN rank<={k} THEN total_tokens ELSE 0 END)::DOUBLE/sum(total_tokens)::DOUBLE,6) AS top{k}_share" for k in (1, 5, 10)) + f" FROM ({_RANKED}) GROUP BY 1")
+@query(f"SELECT month, {_TOTAL}, count(*) AS participants, " + ", ".join(f"round(sum(CASE WHEN rank<={k} THEN total_tokens ELSE 0 END)::DOUBLE/sum(total_tokens)::DOUBLE,6) AS top{k}_share" for k in (1, 5, 10)) + f" FROM ({_RANKED}) GROUP BY 1", lean=True)
 def concentration_monthly(u, h, p):
     return A.concentration(u)
 
@@ -147,7 +149,7 @@ def analytics_models_share(u, h, p):
     return A.share_of_total(u, "model")
 
 
-@query("SELECT CAST(d.day AS DATE) AS day, CAST(coalesce(sum(total_tokens),0) AS BIGINT) AS total_tokens, count(DISTINCT participant_id) AS active FROM (SELECT unnest(generate_series(DATE '2000-06-16', DATE '2001-06-15', INTERVAL 1 DAY)) AS day) d LEFT JOIN u ON u.day=CAST(d.day AS DATE) GROUP BY 1")
+@query("SELECT CAST(d.day AS DATE) AS day, CAST(coalesce(sum(total_tokens),0) AS BIGINT) AS total_tokens, count(DISTINCT participant_id) AS active FROM (SELECT unnest(generate_series(DATE '2000-06-16', DATE '2001-06-15', INTERVAL 1 DAY)) AS day) d LEFT JOIN u ON u.day=CAST(d.day AS DATE) GROUP BY 1", span=(DAY.replace(year=2000, day=16), DAY), lean=True)
 def heatmap_365(u, h, p):
     return A.dense_daily(u, (DAY.replace(year=2000, day=16), DAY))
 
@@ -214,7 +216,6 @@ _MEMBERS = f""", g AS (SELECT participant_id, count(DISTINCT CASE WHEN day>=DATE
 
 
 def _members(u, p):
-    from datetime import date
 
     return A.member_stats(u, p, tuple(map(date.fromisoformat, _NOW)), tuple(map(date.fromisoformat, _THEN)))
 
@@ -224,7 +225,7 @@ def team_member_stats(u, h, p):
     return _members(u, p)
 
 
-@query(_MEMBERS + "SELECT team_id, count(*) AS members, count(*) FILTER (active_days>0) AS active, count(*) FILTER (active_days>0)-count(*) FILTER (previous_days>0) AS delta_active, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (cohort='steady') AS steady, count(*) FILTER (cohort='light') AS light, count(*) FILTER (kind='new') AS new_members, count(*) FILTER (kind='paused') AS paused FROM m GROUP BY 1")
+@query(_MEMBERS + "SELECT team_id, count(*) AS members, count(*) FILTER (active_days>0) AS active, count(*) FILTER (active_days>0)-count(*) FILTER (previous_days>0) AS delta_active, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (cohort='steady') AS steady, count(*) FILTER (cohort='light') AS light, count(*) FILTER (kind='new') AS new_members, count(*) FILTER (kind='paused') AS paused FROM m GROUP BY 1", span=tuple(map(date.fromisoformat, (_THEN[0], _NOW[1]))), lean=True)
 def team_rollup(u, h, p):
     return A.team_rollup(_members(u, p))
 
@@ -234,7 +235,7 @@ def team_tool_combos(u, h, p):
     return A.tool_combos(u)
 
 
-def _costed(u):
+def _costed(u, summed: bool = False):
     """Brands are priced by number: every fifth is not, every seventh has its own price, some only under a provider."""
     spark = u.sparkSession
     n = F.col("id")
@@ -244,7 +245,7 @@ def _costed(u):
     remote = brands.where("id % 5 <> 0").select(name.alias("model"), *rates)
     custom = brands.where("id % 7 = 0").select(F.concat(F.lit("brand#"), n.cast("string")).alias("model"), *[F.lit(v).alias(c) for c, v in zip(C.RATES, (2.0, 4.0, 0.2, 0.4), strict=True)])
     aliases = spark.createDataFrame([("brand#15", "brand#13")], "source string, target string")
-    return C.with_cost(u, C.price_map(remote, custom, aliases))
+    return C.with_cost(u, C.price_map(remote, custom, aliases), summed=summed)
 
 
 _COSTED = """, n AS (SELECT range AS id FROM range(1,56)),
@@ -264,7 +265,7 @@ def costed_sql(key: str = "", where: str = "") -> str:
 
 @query(costed_sql() + "SELECT model, round(sum(cost)+1e-10::DOUBLE,6) AS cost, CAST(coalesce(sum(CASE WHEN cost IS NULL THEN total_tokens END),0) AS BIGINT) AS missing_tokens, CASE max(q) WHEN 2 THEN 'unknown_price' WHEN 1 THEN 'estimated_price' ELSE 'exact_price' END AS cost_quality FROM c GROUP BY 1")
 def cost_by_model(u, h, p):
-    return C.cost_summary(_costed(A.totals_by(u, "model")), "model")
+    return C.cost_summary(_costed(A.totals_by(u, "model"), summed=True), "model")
 
 
 @query(_COSTED + f"SELECT model, {_TOTAL}, count(*) AS rows, max(day) AS last_seen FROM c WHERE cost IS NULL GROUP BY 1")
