@@ -84,6 +84,29 @@ def version_numbers(version: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(parts, i).try_cast("int"), F.lit(0)))
 
 
+def usd(value: Column, little: str = "< $0.01") -> Column:
+    """Dollars with two decimals and commas; a dash for what is unknown."""
+    known = value.isNotNull() & ~F.isnan(value.cast("double"))
+    shown = F.format_number(F.round(F.abs(value.cast("decimal(28,10)")), 2), 2)
+    return F.when(~known, "-").when((value > 0) & (value < 0.01), little).when(value < 0, F.concat(F.lit("-$"), shown)).otherwise(F.concat(F.lit("$"), shown))
+
+
+def compatibility(protocol: Column, version: Column, low: int, high: int, newest: str, enforce: bool = False) -> Column:
+    """Whether a client's protocol (as text) and version go with the server: a struct of status, reason and compatible."""
+    n = protocol.try_cast("double")
+    bad = n.isNull() | F.isnan(n) | (n != F.floor(n)) | (n < 0)
+    whole = lambda v: F.when(v.rlike(r"^\d+\.\d+\.\d+"), version_numbers(F.regexp_extract(v, r"^(\d+\.\d+\.\d+)", 1))).otherwise(F.array(F.lit(0), F.lit(0), F.lit(0)))
+    old = (F.coalesce(F.trim(version), F.lit("")) != "") & (whole(version) < whole(F.lit(newest)))
+
+    def answer(status: str, reason: str, good: bool) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), F.lit(good).alias("compatible"))
+
+    out = F.when(protocol.isNull(), answer("upgrade_recommended", "missing_client_protocol", True)).when(bad, answer("unsupported_client", "malformed_client_protocol", False))
+    out = out.when(n < low, answer("unsupported_client", "client_protocol_too_old", False)).when(n > high, answer("unsupported_server", "client_protocol_too_new", False))
+    late = answer("unsupported_client", "client_app_version_too_old", False) if enforce else answer("upgrade_available", "newer_client_available", True)
+    return out.when(old, late).otherwise(answer("compatible", "", True))
+
+
 def fleet_versions(devices: DataFrame, newest: str, version: str = "version") -> DataFrame:
     """Devices by version, and whether it is older than the newest."""
     by = devices.groupBy(version).agg(F.count("*").alias("devices"))

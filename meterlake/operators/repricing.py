@@ -20,6 +20,30 @@ def affected_models(models: DataFrame, changed: DataFrame, aliases: DataFrame) -
     return tried.join(names, "name", "left_semi").select("model").distinct()
 
 
+def put_price(custom: DataFrame, price: DataFrame) -> DataFrame:
+    """Custom prices with those of ``price`` (model and rates) in place of older ones; a model without a name is refused by leaving it out."""
+    new = price.withColumn("model", price_name(F.col("model"))).where("model <> ''")
+    return custom.join(new.select("model"), "model", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def drop_price(custom: DataFrame, aliases: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Custom prices and aliases without those of ``models``: an alias of a dropped price goes with it, if that price was there."""
+    gone = custom.join(models.select(price_name(F.col("model")).alias("model")).distinct(), "model", "left_semi").select("model")
+    left = aliases.withColumn("__target", price_name(F.col("target"))).join(gone.withColumnRenamed("model", "__target"), "__target", "left_anti").drop("__target")
+    return custom.join(gone, "model", "left_anti"), left
+
+
+def put_alias(aliases: DataFrame, new: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Aliases with those of ``new`` (source, target) in place of older ones, and the refused ones with a reason: no name, the same name, or a target without a price."""
+    named = new.select(price_name(F.coalesce("source", F.lit(""))).alias("source"), price_name(F.coalesce("target", F.lit(""))).alias("target"))
+    known = prices.select(F.col("model").alias("target"), F.lit(True).alias("__priced")).distinct()
+    reason = F.when(F.col("source") == "", "no_source").when(F.col("target") == "", "no_target").when(F.col("source") == F.col("target"), "same").when(F.col("__priced").isNull(), "no_price")
+    judged = named.join(known, "target", "left").withColumn("reason", reason)
+    good = judged.where("reason is null").groupBy("source").agg(F.min("target").alias("target"))
+    kept = aliases.select("source", "target").join(good.select("source"), "source", "left_anti")
+    return kept.unionByName(good), judged.where("reason is not null").select("source", "target", "reason")
+
+
 def reprice(facts: DataFrame, models: DataFrame, prices: DataFrame) -> DataFrame:
     """Facts of the given models with costs by ``prices``; the others keep what they have. Columns stay as they are."""
     marked = facts.join(models.select("model", F.lit(True).alias("__hit")), "model", "left")

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from meterlake.operators import ledger, price_records, reports
+from meterlake.operators import display, gateway_views, ledger, price_records, reports
 from meterlake.operators.pricing import with_cost
 from meterlake.plans import surrogate as S
 from meterlake.plans.catalogue import _SIX, DAY, MONTH, _costed, costed_sql, query
@@ -233,3 +233,71 @@ def migrated_rows(u, h, p):
     prices = spark.createDataFrame([("m1", 1.0, 1.0, None, None)], "model string, input_rate double, output_rate double, cache_read_rate double, cache_write_rate double")
     found = ledger.migrated(old, "event_id", prices)
     return found.select("event_id", "total_tokens", "source_fingerprint", "raw_source_ref", F.round(F.coalesce("cost", F.lit(-1.0)), 9).alias("cost"), "cost_quality")
+
+
+# --- gateway views: a tenth of the requests are probes, some are ahead of today
+
+_TODAY = date(2024, 1, 28)
+_JUDGED = """j AS (SELECT day, hour, provider_id AS source, CASE WHEN event_id%9=0 THEN 'unknown/other' ELSE model END AS model, CASE WHEN event_id%6=0 THEN 0 ELSE total_tokens END AS t, CASE WHEN event_id%6=0 THEN 0.0::DOUBLE ELSE input_tokens/1e6::DOUBLE END AS c, CAST(status>=400 AS BIGINT) AS e
+ FROM h WHERE event_id%10<>0 AND (event_id%6<>0 OR status>=400) AND day<=DATE '2024-01-28')"""
+
+
+def _gateway(h):
+    i = F.col("event_id")
+    tokens = [F.when(i % 6 == 0, 0).otherwise(F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens")]
+    return h.select("day", "hour", F.col("provider_id").alias("source"), F.when(i % 9 == 0, "").otherwise(F.upper("model")).alias("model"), *tokens, (F.col("input_tokens") / 1e6).alias("cost"), "status", F.when(i % 10 == 0, "probe").otherwise("chat").alias("kind"))
+
+
+def _named(names):
+    return F.array_join(F.transform(names, lambda x: F.concat_ws(":", x["name"], x["total_tokens"].cast("string"), x["calls"].cast("string"), x["errors"].cast("string"))), ",")
+
+
+_NAMES = "(SELECT day, string_agg({0} || ':' || t || ':' || n || ':' || e, ',' ORDER BY t DESC, {0}) AS {0}s FROM (SELECT day, {0}, CAST(sum(t) AS BIGINT) AS t, count(*) AS n, CAST(sum(e) AS BIGINT) AS e FROM j GROUP BY 1,2) GROUP BY 1)"
+
+
+@query(
+    f"SELECT d.day, total_tokens, calls, errors, cost, sources, models FROM (SELECT day, CAST(sum(t) AS BIGINT) AS total_tokens, count(*) AS calls, CAST(sum(e) AS BIGINT) AS errors, round(sum(c), 6) AS cost FROM j GROUP BY 1 ORDER BY 1 DESC LIMIT 20) d JOIN {_NAMES.format('source')} USING (day) JOIN {_NAMES.format('model')} USING (day)",
+    hourly=True,
+    first=_JUDGED,
+)
+def gateway_days(u, h, p):
+    days = gateway_views.summaries(_gateway(h), _TODAY, most_days=20)
+    return days.select("day", "total_tokens", "calls", "errors", "cost", _named(F.col("sources")).alias("sources"), _named(F.col("models")).alias("models"))
+
+
+def _points(metric, split, grain, sql):
+    def f(u, h, p):
+        shown = gateway_views.points(gateway_views.summaries(_gateway(h), _TODAY, grain), metric, split, grain)
+        return shown.select("label", "name", F.round(F.col("value").cast("double") + 1e-9, 5).alias("value"), F.round(F.col("total").cast("double") + 1e-9, 5).alias("total"))
+
+    f.__name__ = f"chart_{metric}_by_{split}_and_{grain}"
+    key = "lpad(CAST(hour AS VARCHAR), 2, '0')" if grain == "hour" else "strftime(day, '%m/%d')"
+    own = f"own AS (SELECT {grain}, {key} AS label, {split} AS name, CAST({sql} AS DOUBLE) AS value FROM j {'WHERE day=DATE %s2024-01-28%s' % (chr(39), chr(39)) if grain == 'hour' else ''} GROUP BY 1,2,3)"
+    empty = f" UNION ALL SELECT lpad(CAST(range AS VARCHAR), 2, '0'), '', 0.0::DOUBLE, 0.0::DOUBLE FROM range(24) WHERE range NOT IN (SELECT hour FROM own)" if grain == "hour" else ""
+    query(f"SELECT label, name, round(value+1e-9::DOUBLE, 5) AS value, round(sum(value) OVER (PARTITION BY {grain})+1e-9::DOUBLE, 5) AS total FROM own{empty}", hourly=True, first=f"{_JUDGED}, {own}")(f)
+
+
+for _args in (("tokens", "model", "day", "sum(t)"), ("calls", "source", "hour", "count(*)"), ("cost", "source", "day", "round(sum(c), 6)")):
+    _points(*_args)
+
+
+@query("SELECT day, provider_id, model, workdir_id, count(*) AS rows, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM u WHERE participant_id=7 AND day BETWEEN DATE '2001-06-01' AND DATE '2001-06-15' GROUP BY 1,2,3,4", span=MONTH)
+def person_days(u, h, p):
+    from meterlake.operators.rules import in_scope
+
+    return in_scope(u, MONTH, participant_id=7).groupBy("day", "provider_id", "model", "workdir_id").agg(F.count("*").alias("rows"), F.sum("total_tokens").alias("total_tokens"))
+
+
+@query("SELECT event_id, CASE WHEN event_id%7=0 THEN '-' WHEN event_id%5=0 THEN '< $0.01' ELSE '$' || CASE WHEN input_tokens>=1000 THEN CAST(input_tokens//1000 AS VARCHAR) || ',' || lpad(CAST(input_tokens%1000 AS VARCHAR), 3, '0') ELSE CAST(input_tokens AS VARCHAR) END || '.25' END AS usd FROM h WHERE input_tokens<1000000", hourly=True)
+def dollars(u, h, p):
+    i = F.col("event_id")
+    value = F.when(i % 7 == 0, None).when(i % 5 == 0, 0.004).otherwise(F.col("input_tokens") + 0.25)
+    return h.where("input_tokens < 1000000").select("event_id", display.usd(value).alias("usd"))
+
+
+@query("SELECT reason, count(*) AS clients FROM (SELECT CASE event_id%8 WHEN 0 THEN 'missing_client_protocol' WHEN 1 THEN 'malformed_client_protocol' WHEN 2 THEN 'malformed_client_protocol' WHEN 3 THEN 'client_protocol_too_old' WHEN 4 THEN 'client_protocol_too_new' WHEN 5 THEN 'newer_client_available' ELSE '' END AS reason FROM h) GROUP BY 1", hourly=True)
+def client_compatibility(u, h, p):
+    i = F.col("event_id") % 8
+    protocol = F.when(i == 0, None).when(i == 1, "x").when(i == 2, "1.5").when(i == 3, "1").when(i == 4, "9").otherwise("3")
+    version = F.when(i == 5, "1.9.12-beta").when(i == 6, "1.10.0").otherwise("")
+    return h.groupBy(display.compatibility(protocol, version, 2, 4, "1.10.0")["reason"].alias("reason")).agg(F.count("*").alias("clients"))

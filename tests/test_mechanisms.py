@@ -213,6 +213,20 @@ def test_only_touched_partitions_are_priced_anew(spark, tmp_path):
     assert sorted((r.day, r.model, r.cost, r.cost_quality) for r in spark.read.parquet(path).collect()) == [(1, "y", 1.0, "old"), (2, "x", 0.00024, "exact_price"), (2, "y", 1.0, "old"), (3, "openai/x", 0.00024, "estimated_price"), (3, "y", 1.0, "old")]
 
 
+def test_prices_and_aliases_are_put_and_dropped(spark):
+    rates = "input_rate double, output_rate double, cache_read_rate double, cache_write_rate double"
+    row = lambda m, r: (m, r, r, None, None)
+    custom = spark.createDataFrame([row("a", 1.0), row("b", 2.0)], f"model string, {rates}")
+    custom = repricing.put_price(custom, spark.createDataFrame([row(" A", 5.0), row("c", 3.0), row(" ", 9.0)], custom.schema))
+    assert sorted((r.model, r.input_rate) for r in custom.collect()) == [("a", 5.0), ("b", 2.0), ("c", 3.0)]
+    aliases = spark.createDataFrame([("x", "a"), ("y", "remote")], "source string, target string")
+    aliases, refused = repricing.put_alias(aliases, spark.createDataFrame([("X", "b"), ("z", "c"), ("a", "A"), ("q", "none"), ("", "a"), ("w", None)], aliases.schema), custom)
+    assert sorted(map(tuple, aliases.collect())) == [("x", "b"), ("y", "remote"), ("z", "c")]
+    assert sorted((r.source, r.reason) for r in refused.collect()) == [("", "no_source"), ("a", "same"), ("q", "no_price"), ("w", "no_target")]
+    left, named = repricing.drop_price(custom, aliases, spark.createDataFrame([("B",), ("remote",)], "model string"))
+    assert sorted(r.model for r in left.collect()) == ["a", "c"] and sorted(map(tuple, named.collect())) == [("y", "remote"), ("z", "c")]
+
+
 def test_writes_make_windows_stale(spark):
     day, now = lambda d: date(2026, 1, d) if d else None, datetime(2026, 1, 20, 12)
     rows = [("all", None, None, 0), ("from", 15, None, 0), ("to", None, 15, 0), ("hit", 10, 20, 0), ("gap", 17, 19, 0), ("late", 21, 25, 0), ("open late", 21, None, 0), ("patient", 1, 31, 60_000)]
