@@ -83,6 +83,15 @@ def ranks_in_ranges(df: DataFrame, key: str, measure: str = TOTAL, ranges: int =
     return dealt.withColumn("__n", here).join(F.broadcast(before), "__range").withColumn("rank", (F.col("__n") + F.col("__before")).cast("long")).drop("__range", "__n", "__before")
 
 
+def cost_view(costed: DataFrame, *keys: str) -> DataFrame:
+    """A ledger's summary with costs: sums, known cost, worst quality, and the list of models without a price (``name=tokens``, the largest first). ``costed`` has sums by model and the keys."""
+    missing = F.array_sort(F.collect_list(F.when(F.col("cost").isNull() & (F.col(TOTAL) > 0), F.struct((-F.col(TOTAL)).alias("m"), F.col("model").alias("n")))))
+    listed = F.array_join(F.transform(missing, lambda x: F.concat(x["n"], F.lit("="), (-x["m"]).cast("string"))), ",")
+    out = costed.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in TOKENS], listed.alias("unpriced"))
+    named = out.select(*keys, *[F.col(f"_{c}").alias(c) for c in TOKENS], "unpriced")
+    return named.join(cost_summary(costed, *keys), list(keys))
+
+
 def paged_ranking(usage: DataFrame, people: DataFrame, page: int, size: int) -> DataFrame:
     """One page of the ranking (the last one if ``page`` is beyond it): sums, devices, lists, and the page's numbers on each row."""
     board = breakdowns(usage, "participant_id", {"tool_code": None, "provider_id": None, "model": 10})

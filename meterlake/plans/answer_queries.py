@@ -196,6 +196,15 @@ def price_list(u, h, p):
     return page.groupBy("kind").agg(F.count("*").alias("rows"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"))
 
 
+@query(
+    costed_sql("provider_id")
+    + f""" SELECT provider_id, {_SIX}, coalesce(string_agg(model || '=' || total_tokens, ',' ORDER BY total_tokens DESC, model) FILTER (cost IS NULL AND total_tokens>0), '') AS unpriced, round(sum(cost)+1e-10::DOUBLE, 6) AS cost, CAST(coalesce(sum(CASE WHEN cost IS NULL THEN total_tokens END), 0) AS BIGINT) AS missing_tokens,
+ CASE max(q) WHEN 2 THEN 'unknown_price' WHEN 1 THEN 'estimated_price' ELSE 'exact_price' END AS cost_quality FROM c GROUP BY 1"""
+)
+def ledger_costs(u, h, p):
+    return reports.cost_view(_costed(u.groupBy("provider_id", "model").agg(*[F.sum(c).alias(c) for c in S.TOKENS]), summed=True), "provider_id")
+
+
 # --- sync, pages of scopes, migration
 
 _SCOPE = "day, hour, provider_id"

@@ -136,6 +136,7 @@ def quota_windows(answers: DataFrame) -> DataFrame:
     """Limits of a plan's quota answer (column data: level, limits): the window of five hours and that of a week.
 
     A limit of unit 3 is the first, of unit 6 the second; others fill what is left, those without a reset time first, then by it.
+    Usage by model (usageDetails), where the answers have it, is the map ``details``.
     """
     each = answers.select(F.col("data.level").alias("level"), F.posexplode("data.limits").alias("at", "x")).where(F.upper("x.type").isin("TOKENS_LIMIT", "CREDIT_LIMIT"))
     order = F.struct(F.col("x.nextResetTime").isNotNull().alias("known"), F.coalesce("x.nextResetTime", F.lit(0)).alias("reset"), "at", "x")
@@ -150,4 +151,10 @@ def quota_windows(answers: DataFrame) -> DataFrame:
     five = F.coalesce(F.get(of("five"), 0)["o"], F.get(rest, 0))
     week = F.coalesce(F.get(of("week"), 0)["o"], F.get(rest, F.when(F.size(of("five")) > 0, 0).otherwise(1)))
     windows = whole.select("level", F.explode(F.array(F.struct(F.lit("five_hour").alias("window"), five["x"].alias("x")), F.struct(F.lit("weekly").alias("window"), week["x"].alias("x")))).alias("w")).where("w.x is not null")
-    return windows.select("level", "w.window", F.col("w.x.percentage").alias("percentage"), F.timestamp_millis("w.x.nextResetTime").alias("resets_at"))
+    details = []
+    if "usageDetails" in windows.select("w.x.*").columns:
+        given = F.filter("w.x.usageDetails", lambda d: d["modelCode"].isNotNull())
+        codes = F.array_distinct(F.transform(given, lambda d: d["modelCode"]))
+        # of a model named twice the last counts
+        details = [F.map_from_arrays(codes, F.transform(codes, lambda c: F.element_at(F.filter(given, lambda d: d["modelCode"] == c), -1)["usage"])).alias("details")]
+    return windows.select("level", "w.window", F.col("w.x.percentage").alias("percentage"), F.timestamp_millis("w.x.nextResetTime").alias("resets_at"), *details)

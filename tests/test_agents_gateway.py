@@ -74,6 +74,13 @@ def test_quota_windows(spark):
     assert got == [("free", "five_hour", 3.0), ("free", "weekly", 4.0), ("pro", "five_hour", 1.0), ("pro", "weekly", 2.0)]
 
 
+def test_quota_details(spark):
+    schema = "data struct<level:string,limits:array<struct<type:string,unit:int,percentage:double,nextResetTime:long,usageDetails:array<struct<modelCode:string,usage:long>>>>>"
+    rows = [(("pro", [("TOKENS_LIMIT", 3, 2.0, 20, [("a", 1), ("b", 2), (None, 9), ("a", 5)]), ("TOKENS_LIMIT", 6, 1.0, 10, None)]),)]
+    got = {r.window: r.details for r in agents.quota_windows(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"five_hour": {"a": 5, "b": 2}, "weekly": None}
+
+
 def test_gateway_ledger(spark, tmp_path):
     row = lambda i, **k: {"t": f"2026-01-01T00:00:{i:02d}Z", "agent": "Codex", "in": 5, "out": 1, "route_id": 1, "response_id": f"r{i}"} | k
     where = write(tmp_path / "g" / "usage.jsonl", *[row(i) for i in range(30)], row(31, response_id="r3"), row(32, route_id="no"), row(33, out=-4), row(34, kind="probe", source="probe"), row(35, agent="z", callerKeyId="k"), '{"t": "cut')
