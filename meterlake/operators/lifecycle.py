@@ -50,8 +50,8 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return df.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | null).drop("__n")
 
 
-def canonical_row(fields: dict[str, str]) -> Column:
-    """JSON object of a row with its keys in order, no blanks and explicit nulls; kinds are text or number."""
+def canonical_row(fields: dict[str, str], omit_missing: bool = False) -> Column:
+    """JSON object of a row with its keys in order and no blanks; what is missing is null, or left out. Kinds are text or number."""
     def value(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind == "number":
@@ -60,12 +60,13 @@ def canonical_row(fields: dict[str, str]) -> Column:
         inside = F.to_json(F.array(c.cast("string")))
         return F.when(c.isNull(), "null").otherwise(F.substring(inside, F.lit(2), F.length(inside) - 2))
 
-    parts = [F.concat(F.lit(f'"{n}":'), value(n, k)) for n, k in sorted(fields.items())]
+    parts = [F.when(F.lit(not omit_missing) | F.col(n).isNotNull(), F.concat(F.lit(f'"{n}":'), value(n, k))) for n, k in sorted(fields.items())]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def bucket_fingerprints(items: DataFrame, scope: list[str], fields: dict[str, str]) -> DataFrame:
-    rows = F.array_join(F.array_sort(F.collect_list(canonical_row(fields))), ",")
+def bucket_fingerprints(items: DataFrame, scope: list[str], fields: dict[str, str], omit_missing: bool = False) -> DataFrame:
+    """Rows, tokens and digest of each bucket; a bucket's rows are one cell, so a bucket is an hour or a day of one provider. Days leave out the hour and what is missing."""
+    rows = F.array_join(F.array_sort(F.collect_list(canonical_row(fields, omit_missing))), ",")
     return items.groupBy(*scope).agg(F.count("*").alias("row_count"), F.sum("total_tokens").alias("total_tokens"), F.sha2(F.concat(F.lit("["), rows, F.lit("]")), 256).alias("fingerprint"))
 
 

@@ -55,10 +55,10 @@ def reprice_stored(path: str, models: DataFrame, prices: DataFrame, partition: s
     """Price stored facts anew, writing only the partitions that have one of the models; gives their number."""
     spark = models.sparkSession
     facts = spark.read.parquet(path)
-    hit = facts.join(F.broadcast(models.select("model").distinct()), "model", "left_semi").select(partition).distinct().checkpoint()  # models: names in use
+    hit = facts.join(models.select("model").distinct(), "model", "left_semi").select(partition).distinct().checkpoint()
     reached = hit.count()
     if reached:
-        # partitions found at run time reach the scan; each is written beside the old one and put in its place when it is done
+        # a row a partition, fewer than the driver lists: found at run time, they reach the scan; each is written beside the old one and put in its place when it is done
         touched = facts.join(F.broadcast(hit), partition, "left_semi")
         reprice(touched, models, prices).select(*facts.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return reached

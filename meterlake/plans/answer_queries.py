@@ -244,6 +244,17 @@ def migrated_rows(u, h, p):
     return found.select("event_id", "total_tokens", "source_fingerprint", "raw_source_ref", F.round(F.coalesce("cost", F.lit(-1.0)), 9).alias("cost"), "cost_quality")
 
 
+@query(
+    """SELECT day, provider_id, count(*) AS row_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sha256('[' || string_agg(j, ',' ORDER BY j) || ']') AS fingerprint FROM (SELECT *, '{"eventId":' || event_id || CASE WHEN event_id%3=0 THEN '' ELSE ',"model":"' || model || '"' END || ',"totalTokens":' || total_tokens || '}' AS j FROM h) GROUP BY 1,2""",
+    hourly=True,
+)
+def daily_fingerprints(u, h, p):
+    from meterlake.operators.lifecycle import bucket_fingerprints
+
+    rows = h.select("day", "provider_id", "total_tokens", F.col("event_id").alias("eventId"), F.when(F.col("event_id") % 3 != 0, F.col("model")).alias("model"), F.col("total_tokens").alias("totalTokens"))
+    return bucket_fingerprints(rows, ["day", "provider_id"], {"eventId": "number", "model": "text", "totalTokens": "number"}, omit_missing=True)
+
+
 # --- gateway views: a tenth of the requests are probes, some are ahead of today
 
 _TODAY = date(2024, 1, 28)

@@ -41,7 +41,7 @@ def prepare(spark: SparkSession, target: str) -> None:
 
 
 def stored(spark: SparkSession, target: str, name: str, days: DataFrame | None = None) -> DataFrame:
-    """A table, or its partitions of some days."""
+    """A table, or its partitions of some days (those of a batch: fewer than the table's partitions, which the driver lists)."""
     names = [c.split()[0] for c in TABLES[name].split(", ")]
     table = spark.read.schema(TABLES[name]).parquet(f"{target}/{name}").select(*names)
     return table if days is None else table.join(F.broadcast(days), "day", "left_semi").select(*names)
