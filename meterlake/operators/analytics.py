@@ -37,6 +37,28 @@ def ranked(df: DataFrame, key: str, measure: str = "total_tokens", within: list[
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(F.desc(measure), key)).cast("long"))
 
 
+def ranked_apart(df: DataFrame, key: str, measure: str = "total_tokens", ranges: int = 64, out: str = "rank", running: str | None = None) -> DataFrame:
+    """As :func:`ranked` over all rows, without a window over all rows: rows are dealt into ranges of the measure by its quantiles, numbered in each, and moved
+    on by the number of rows in the ranges before; ``running`` names a column for the sum of the measure up to the row. Rows of one value share a range, and so a task.
+    The rows are written once, as three passes read them."""
+    rows = df.checkpoint()
+    found = rows.agg(F.percentile_approx(measure, [i / ranges for i in range(1, ranges)], 10_000).alias("m")).first().m
+    cuts = sorted(set(found or []), reverse=True)  # fewer than ``ranges`` numbers
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b > F.col(measure))) if cuts else F.lit(0)
+    dealt = rows.withColumn("__range", at)
+    whole = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"), F.sum(measure).alias("s"))  # ``ranges`` rows at most
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("__n"), F.coalesce(F.sum("s").over(whole), F.lit(0)).alias("__s"))
+    order = Window.partitionBy("__range").orderBy(F.desc(measure), key)
+    placed = dealt.withColumn(out, F.row_number().over(order))
+    if running:
+        placed = placed.withColumn(running, F.sum(measure).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = placed.join(F.broadcast(before), "__range").withColumn(out, (F.col(out) + F.col("__n")).cast("long"))
+    if running:
+        joined = joined.withColumn(running, F.col(running) + F.col("__s"))
+    return joined.drop("__range", "__n", "__s")
+
+
 def quality() -> Column:
     """exact only if every row is exact."""
     return F.when(F.max(F.when(F.col("source_quality") != "exact", 1).otherwise(0)) == 1, "partial").otherwise("exact").alias("source_quality")
@@ -156,15 +178,18 @@ def fold_rest(usage: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def pareto(usage: DataFrame, key: str = "participant_id") -> DataFrame:
-    r = ranked(totals_by(usage, key, cols=["total_tokens"]), key)
-    upto = F.sum("total_tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("cumulative_share", ratio(upto, F.sum("total_tokens").over(Window.partitionBy())))
+    r = ranked_apart(totals_by(usage, key, cols=["total_tokens"]), key, running="__upto")
+    all_of = r.agg(F.sum("total_tokens").alias("__all"), F.lit(0).alias("__one"))  # one row
+    joined = r.withColumn("__one", F.lit(0)).join(F.broadcast(all_of), "__one")
+    return joined.withColumn("cumulative_share", ratio(F.col("__upto"), F.col("__all"))).drop("__upto", "__all", "__one")
 
 
 def neighbours(usage: DataFrame, key: str = "participant_id") -> DataFrame:
-    r = ranked(totals_by(usage, key, cols=["total_tokens"]), key)
-    order = Window.orderBy("rank")
-    return r.withColumn("gap_ahead", F.lag("total_tokens").over(order) - F.col("total_tokens")).withColumn("gap_behind", F.col("total_tokens") - F.lead("total_tokens").over(order))
+    """Each rank with its distance to the ones before and after it; ranks meet their neighbours by number."""
+    r = ranked_apart(totals_by(usage, key, cols=["total_tokens"]), key)
+    ahead, behind = (r.select((F.col("rank") + step).alias("rank"), F.col("total_tokens").alias(name)) for step, name in ((1, "__ahead"), (-1, "__behind")))
+    joined = r.join(ahead, "rank", "left").join(behind, "rank", "left")
+    return joined.select(key, "total_tokens", "rank", (F.col("__ahead") - F.col("total_tokens")).alias("gap_ahead"), (F.col("total_tokens") - F.col("__behind")).alias("gap_behind"))
 
 
 def daily_leaders(usage: DataFrame) -> DataFrame:

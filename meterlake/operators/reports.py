@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.operators.analytics import TOKENS, calendar, dominant, in_range, percentile_of, ranked, ratio, streaks
+from meterlake.operators.analytics import TOKENS, calendar, dominant, in_range, percentile_of, ranked, ranked_apart, ratio, streaks
 from meterlake.operators.pricing import cost_summary
 
 TOTAL = "total_tokens"
@@ -70,19 +70,6 @@ def daily_series(usage: DataFrame, costed: DataFrame, span: tuple[date, date]) -
     return days.select("day", zero(TOTAL), zero("active"), F.coalesce("cost", F.lit(0.0)).alias("cost"), zero("missing_tokens"), F.coalesce("cost_quality", F.lit("")).alias("cost_quality"))
 
 
-def ranks_in_ranges(df: DataFrame, key: str, measure: str = TOTAL, ranges: int = 64) -> DataFrame:
-    """Rank by ``measure`` descending, then ``key``, without a window over all rows: rows are dealt into ranges of the measure, numbered in
-    each, and moved on by the number of rows in the ranges before. Rows of one value share a range, and so a task."""
-    bounds = df.agg(F.percentile_approx(measure, [i / ranges for i in range(1, ranges)], 10_000).alias("m")).first().m or []
-    cuts = sorted(set(bounds), reverse=True)
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda b: b > F.col(measure)))
-    dealt = df.withColumn("__range", at)
-    before = dealt.groupBy("__range").agg(F.count("*").alias("n"))  # ``ranges`` rows at most
-    before = before.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
-    here = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(measure), key))
-    return dealt.withColumn("__n", here).join(F.broadcast(before), "__range").withColumn("rank", (F.col("__n") + F.col("__before")).cast("long")).drop("__range", "__n", "__before")
-
-
 def cost_view(costed: DataFrame, *keys: str) -> DataFrame:
     """A ledger's summary with costs: sums, known cost, worst quality, and the list of models without a price (``name=tokens``, the largest first). ``costed`` has sums by model and the keys."""
     missing = F.array_sort(F.collect_list(F.when(F.col("cost").isNull() & (F.col(TOTAL) > 0), F.struct((-F.col(TOTAL)).alias("m"), F.col("model").alias("n")))))
@@ -97,7 +84,7 @@ def paged_ranking(usage: DataFrame, people: DataFrame, page: int, size: int) ->
     board = breakdowns(usage, "participant_id", {"tool_code": None, "provider_id": None, "model": 10})
     devices = usage.groupBy("participant_id").agg(F.count_distinct("device_id").alias("devices"))
     joined = board.join(devices, "participant_id").join(people.select("participant_id", "nickname"), "participant_id", "left")
-    numbered = ranks_in_ranges(joined, "participant_id")
+    numbered = ranked_apart(joined, "participant_id")
     rows = numbered.agg(F.count("*").alias("n"), F.lit(0).alias("__one"))
     pages = F.greatest(F.ceil(F.col("n") / size), F.lit(1))
     meta = rows.select("__one", F.col("n").alias("total_rows"), pages.alias("pages"), F.greatest(F.least(F.lit(page), pages), F.lit(1)).alias("page"))

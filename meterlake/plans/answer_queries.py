@@ -69,8 +69,10 @@ def ranking_page(u, h, p):
 
 @query("SELECT participant_id, total_tokens, row_number() OVER (ORDER BY total_tokens DESC, participant_id) AS rank FROM (SELECT participant_id, CAST(sum(total_tokens)//1000000 AS BIGINT) AS total_tokens FROM u GROUP BY 1)", lean=True)
 def ranks_without_one_task(u, h, p):
+    from meterlake.operators.analytics import ranked_apart
+
     totals = u.groupBy("participant_id").agg(F.sum("total_tokens").alias("t")).select("participant_id", F.floor(F.col("t") / 1_000_000).cast("long").alias("total_tokens"))
-    return reports.ranks_in_ranges(totals, "participant_id")
+    return ranked_apart(totals, "participant_id")
 
 
 @query(
