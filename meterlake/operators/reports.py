@@ -41,9 +41,14 @@ def breakdowns(usage: DataFrame, key: str, names: dict[str, int | None], extra:
     return out.select(key, *[F.col(f"_{c}").alias(c) for c in [*TOKENS, *extras]], quality, F.col("___last").alias("last_day"), *[f"{c}_list" for c in cols])
 
 
-def full_board(usage: DataFrame, people: DataFrame, top_models: int = 10) -> DataFrame:
-    """The board with every field: sums, quality, last day, lists of tools, folders and models, the dominant kind of tokens, rank; a tie goes to the name, then the id."""
+def full_board(usage: DataFrame, people: DataFrame, top_models: int = 10, costed: DataFrame | None = None) -> DataFrame:
+    """The board with every field: sums, quality, last day, lists of tools, folders and models, the dominant kind of tokens, rank; a tie goes to the name, then the id.
+
+    ``costed`` (sums by person and model, with costs) adds known cost, tokens without a price and the worst quality of prices.
+    """
     board = breakdowns(usage, "participant_id", {"tool_code": None, "workdir_id": None, "model": top_models}).join(people.select("participant_id", "nickname"), "participant_id")
+    if costed is not None:
+        board = board.join(cost_summary(costed, "participant_id"), "participant_id", "left")
     order = Window.orderBy(F.desc(TOTAL), "nickname", "participant_id")
     return board.withColumn("dominant", dominant()).withColumn("rank", F.row_number().over(order).cast("long"))
 

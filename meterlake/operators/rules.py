@@ -113,6 +113,12 @@ def workdir_identity(candidate: Column, participant: Column) -> tuple[Column, Co
     return F.sha2(F.concat(hashed, F.lit(":"), participant.cast("string")), 256), name
 
 
+def folder_of_uri(uri: Column) -> Column:
+    """The folder of a ``file://`` address, its percent signs decoded (a plus is a plus); any other text as it is."""
+    path = F.regexp_replace(F.regexp_replace(uri, "^file://(localhost)?", ""), r"^/([A-Za-z]:)", "$1")
+    return F.when(uri.startswith("file://"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(uri)
+
+
 def with_alias(rows: DataFrame, aliases: DataFrame, key: str, name: str) -> DataFrame:
     """``name`` replaced by its alias where one is given for ``key``."""
     return rows.join(aliases.select(key, F.col("alias").alias("__alias")), key, "left").withColumn(name, F.coalesce("__alias", name)).drop("__alias")

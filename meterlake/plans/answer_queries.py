@@ -32,6 +32,17 @@ def full_board(u, h, p):
     return reports.full_board(u, p)
 
 
+@query(
+    costed_sql("participant_id")
+    + f""" SELECT b.*, tool_code_list, workdir_id_list, model_list, nickname, {_DOMINANT}, k.cost, k.missing_tokens, k.cost_quality, row_number() OVER (ORDER BY total_tokens DESC, nickname, participant_id) AS rank FROM b JOIN tool_code_l USING (participant_id) JOIN workdir_id_l USING (participant_id) JOIN model_l USING (participant_id) JOIN p USING (participant_id)
+ JOIN (SELECT participant_id, round(sum(cost)+1e-10::DOUBLE, 6) AS cost, CAST(coalesce(sum(CASE WHEN cost IS NULL THEN total_tokens END), 0) AS BIGINT) AS missing_tokens, CASE max(q) WHEN 2 THEN 'unknown_price' WHEN 1 THEN 'estimated_price' ELSE 'exact_price' END AS cost_quality FROM c GROUP BY 1) k USING (participant_id)""",
+    first=", ".join([_BASE, _list("tool_code"), _list("workdir_id"), _list("model", 3)]),
+)
+def full_board_with_cost(u, h, p):
+    by_model = u.groupBy("participant_id", "model").agg(*[F.sum(c).alias(c) for c in S.TOKENS])
+    return reports.full_board(u, p, 3, _costed(by_model))
+
+
 @query(
     f"""SELECT participant_id, nickname, {', '.join(S.TOKENS)}, provider_id_list, model_list, peak_day, peak_tokens, coalesce(current_streak, 0) AS current_streak, coalesce(best_streak, 0) AS best_streak, coalesce(active_days, 0) AS active_days, rank, CAST(floor((n-rank)::DOUBLE/n*100+0.5) AS BIGINT) AS percentile
  FROM (SELECT *, row_number() OVER (ORDER BY total_tokens DESC, participant_id) AS rank, count(*) OVER () AS n FROM b JOIN p USING (participant_id)) JOIN provider_id_l USING (participant_id) JOIN model_l USING (participant_id)

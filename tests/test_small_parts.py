@@ -21,6 +21,14 @@ def test_numbers_and_keys(spark):
     assert one.select(L.usage_key("day", "hour", "participant")).first()[0] == "2026-01-01|0|7" and one.select(L.model_name(F.col("model"))).first()[0] == "m"
 
 
+def test_folders_of_addresses(spark):
+    from meterlake.operators.rules import folder_of_uri
+
+    given = ["file:///home/a%20b/c+d", "file://localhost/x", "file:///C:/w%C3%BC", "/plain%20x", "file:///bad%zz", None]
+    got = [r.f for r in spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g string").orderBy("i").select(folder_of_uri(F.col("g")).alias("f")).collect()]
+    assert got == ["/home/a b/c+d", "/x", "C:/wü", "/plain%20x", "/bad%zz", None]
+
+
 def test_scope_digests(spark):
     daily = spark.createDataFrame([(1, "a", "d1"), (2, "a", "d2")], "day int, provider_id string, fingerprint string")
     hourly = spark.createDataFrame([(1, "a", "h2"), (1, "a", "h1"), (3, "a", "h3")], daily.schema)
