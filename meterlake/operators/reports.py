@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.operators.analytics import TOKENS, calendar, dominant, in_range, percentile_of, ranked, ranked_apart, ratio, streaks
+from meterlake.operators.analytics import TOKENS, bucket, calendar, dominant, in_range, percentile_of, ranked, ranked_apart, ratio, streaks
 from meterlake.operators.pricing import cost_summary
 
 TOTAL = "total_tokens"
@@ -53,6 +53,29 @@ def full_board(usage: DataFrame, people: DataFrame, top_models: int = 10, costed
     return board.withColumn("dominant", dominant()).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def source_board(usage: DataFrame, people: DataFrame, k: int = 10, top_models: int = 3) -> DataFrame:
+    """The k largest people of each provider with their models, and on each row the provider's total and people and the total of all providers.
+
+    Spark limits each task's providers to k people before the shuffle; models are listed for the people that are left.
+    """
+    by_model = usage.groupBy("provider_id", "participant_id", "model").agg(F.sum(TOTAL).alias("t"))
+    each = by_model.groupBy("provider_id", "participant_id").agg(F.sum("t").alias(TOTAL))
+    sources = each.groupBy("provider_id").agg(F.sum(TOTAL).alias("provider_tokens"), F.count("*").alias("participants"))
+    sources = sources.withColumn("all_tokens", F.sum("provider_tokens").over(Window.partitionBy()))  # a row a provider
+    first = ranked(each, "participant_id", within=["provider_id"]).where(F.col("rank") <= k)
+    order = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("m"), F.col("model").alias("n")))), 1, top_models)
+    lists = by_model.join(first.select("provider_id", "participant_id"), ["provider_id", "participant_id"], "left_semi").groupBy("provider_id", "participant_id").agg(F.array_join(F.transform(order, lambda x: F.concat(x["n"], F.lit("="), (-x["m"]).cast("string"))), ",").alias("models"))
+    return first.join(lists, ["provider_id", "participant_id"]).join(sources, "provider_id").join(people.select("participant_id", "nickname"), "participant_id", "left")
+
+
+def shares(usage: DataFrame, *names: str) -> DataFrame:
+    """Totals and shares by each of several columns in one pass: rows of dimension, name, total and share."""
+    sets = usage.groupingSets([[n] for n in names], *names)
+    which = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(n)) for n in names])
+    rows = sets.agg(which.alias("dimension"), F.sum(TOTAL).alias("t")).select("dimension", F.coalesce(*[F.col(n).cast("string") for n in names]).alias("name"), F.col("t").alias(TOTAL))
+    return rows.withColumn("share", ratio(F.col(TOTAL), F.sum(TOTAL).over(Window.partitionBy("dimension"))))
+
+
 def profiles(usage: DataFrame, people: DataFrame) -> DataFrame:
     """Everybody's profile: totals, lists, peak day, streaks, rank and percentile among all with usage."""
     base = breakdowns(usage, "participant_id", {"provider_id": None, "model": 10})
@@ -97,6 +120,14 @@ def paged_ranking(usage: DataFrame, people: DataFrame, page: int, size: int) ->
     return out.where((F.col("rank") > (F.col("page") - 1) * size) & (F.col("rank") <= F.col("page") * size))
 
 
+def period_page(usage: DataFrame, grain: str, offset: int, limit: int) -> DataFrame:
+    """A page of people's usage by period, the newest period first and in it the largest total; ``place`` counts from 1 over all. Tasks keep no more rows than the page's end."""
+    by = usage.groupBy(bucket(grain).alias("period_start"), "participant_id").agg(*[F.sum(c).alias(c) for c in TOKENS])
+    order = [F.desc("period_start"), F.desc(TOTAL), F.col("participant_id")]
+    page = by.orderBy(*order).limit(offset + limit)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("place") > offset)
+
+
 def quality_report(usage: DataFrame) -> DataFrame:
     """Counters of what is amiss, over all and by provider and quality: provider_id and source_quality are null in rows that sum over them."""
     unknown = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("unknown")) == "unknown"

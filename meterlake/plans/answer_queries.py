@@ -55,6 +55,19 @@ def full_profiles(u, h, p):
     return reports.profiles(u, p)
 
 
+@query(
+    f"""SELECT provider_id, participant_id, total_tokens, rank, models, provider_tokens, participants, all_tokens, nickname FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY total_tokens DESC, participant_id) AS rank, CAST(sum(total_tokens) OVER (PARTITION BY provider_id) AS BIGINT) AS provider_tokens, count(*) OVER (PARTITION BY provider_id) AS participants, CAST(sum(total_tokens) OVER () AS BIGINT) AS all_tokens
+ FROM (SELECT provider_id, participant_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM u GROUP BY 1,2)) JOIN (SELECT provider_id, participant_id, string_agg(model || '=' || t, ',' ORDER BY n) AS models FROM (SELECT *, row_number() OVER (PARTITION BY provider_id, participant_id ORDER BY t DESC, model) AS n FROM (SELECT provider_id, participant_id, model, {_T} FROM u GROUP BY 1,2,3)) WHERE n<=3 GROUP BY 1,2) USING (provider_id, participant_id) LEFT JOIN p USING (participant_id) WHERE rank<=10"""
+)
+def source_board(u, h, p):
+    return reports.source_board(u, p)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS dimension, CAST({n} AS VARCHAR) AS name, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(total_tokens)::DOUBLE/(sum(sum(total_tokens)) OVER ())::DOUBLE, 6) AS share FROM u GROUP BY {n}" for n in ("model", "provider_id", "workdir_id")))
+def analytics_shares(u, h, p):
+    return reports.shares(u, "model", "provider_id", "workdir_id")
+
+
 _SPAN = (MONTH[0] - timedelta(days=3), MONTH[1])
 
 
@@ -78,6 +91,11 @@ def ranking_page(u, h, p):
     return reports.paged_ranking(u, p, 3, 7)
 
 
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY period_start DESC, total_tokens DESC, participant_id) AS place FROM (SELECT CAST(date_trunc('week', day) AS DATE) AS period_start, participant_id, {_SIX} FROM u GROUP BY 1,2)) WHERE place>20 AND place<=70", lean=True)
+def period_page(u, h, p):
+    return reports.period_page(u, "week", 20, 50)
+
+
 @query("SELECT participant_id, total_tokens, row_number() OVER (ORDER BY total_tokens DESC, participant_id) AS rank FROM (SELECT participant_id, CAST(sum(total_tokens)//1000000 AS BIGINT) AS total_tokens FROM u GROUP BY 1)", lean=True)
 def ranks_without_one_task(u, h, p):
     from meterlake.operators.analytics import ranked_apart
