@@ -5,7 +5,8 @@ five bytes of its words, of its neighbouring word pairs and of its pairs with on
 keeps a learning rate per coordinate and an L1 penalty, so that few weights differ from zero;
 these few are broadcast. The model is fitted in one task on at most ``SAMPLE_TOXIC`` +
 ``SAMPLE_CLEAN`` labelled rows, chosen by a hash of the id below each label's share, without a sort; the sample's share of toxic rows is
-corrected for by weights.
+corrected for by weights. Features are made where a text is read, so that the fitting task gets places (four bytes each, 2^20 different
+ones at most), and no text.
 
 Edge cases: null and empty texts get the score of the bias alone; texts are read whole; a row
 that repeats is answered each time; a document labelled both ways counts as toxic; without
@@ -74,7 +75,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounds = {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}
     below = [1.0 if counts.get(y, 0) <= bounds[y] else 1.1 * bounds[y] / counts[y] for y in (0, 1)]
     picked = marks.where("y in (0, 1)").withColumn("h", fraction(F.col("id"))).where(F.col("h") < F.when(F.col("y") == 1, below[1]).otherwise(below[0]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tidy():
+            for b in batches:
+                at = [np.unique(features(t)).astype("<i4").tobytes() for t in b["text"]]
+                yield pd.DataFrame({"id": b["id"], "y": b["y"], "h": b["h"], "d": b["d"], "at": at})
+
+    kind = chosen.schema["id"].dataType.simpleString()
+    # of several texts under one id the one whose hash is least (a null text's is that of nothing)
+    rows = chosen.withColumn("d", F.xxhash64("text")).mapInPandas(lambda b: places(b), f"id {kind}, y int, h double, d long, at binary").groupBy("id", "y", "h").agg(F.min_by("at", "d").alias("at"))
     share = [max(1.0, counts.get(0, 0) / SAMPLE_CLEAN), max(1.0, counts.get(1, 0) / SAMPLE_TOXIC)]
     weight = [x / min(share) for x in share]
 
@@ -83,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         group = group.sort_values(["h", "id"])
         group = pd.concat([group[group["y"] == y].head(n) for y, n in bounds.items()])
         model, order = Ftrl(), np.random.default_rng(11)
-        items = [(np.append(np.unique(features(t)), _BIAS), y) for t, y in zip(group["text"], group["y"], strict=True)]
+        items = [(np.append(np.frombuffer(a, "<i4").astype(np.int64), _BIAS), y) for a, y in zip(group["at"], group["y"], strict=True)]
         for _ in range(epochs):
             for i in order.permutation(len(items)):
                 at, y = items[i]

@@ -223,3 +223,14 @@ def test_fingerprint_columns_as_plain_python(spark):
         cut = len(x) // 4
         assert got[a].edited == x[: len(x) - cut] + y[:cut]
     assert got[3].like > 0.8 and got[9].like == 0.0 and got[21].like == 1.0
+
+
+def test_hot_keys_and_tables_too_large_to_broadcast_change_nothing(spark, docs, monkeypatch):
+    shared = passage(40, 60)
+    more = spark.createDataFrame([(100 + i, f"{passage(200 + i, 10)} {shared} {passage(300 + i, 12)}", i, "y") for i in range(25)] + [(200 + i, passage(7, 80) + f" tail{i % 3}", i, "z") for i in range(25)], docs.schema)
+    both = docs.unionByName(more)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    near, cut = rows(near_dedup.near_duplicates(both, width=2, percent=80)), rows(substring_dedup.dedup(both))
+    for module, name, value in ((near_dedup, "BROADCAST_ROWS", 1), (substring_dedup, "HOT", 2), (substring_dedup, "SALTS", 4), (substring_dedup, "BROADCAST_ROWS", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert rows(near_dedup.near_duplicates(both, width=2, percent=80)) == near and rows(substring_dedup.dedup(both)) == cut
