@@ -21,16 +21,13 @@ def price_name(c: Column) -> Column:
 
 
 def price_map(remote: DataFrame, custom: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Custom prices go over remote ones; an alias (source, target) goes over both if its target has a price."""
-    def first(rows: DataFrame) -> DataFrame:
-        # the largest order counts, then the least rates
-        return rows.groupBy("model").agg(F.min(F.struct((-F.col("order")).alias("o"), *RATES)).alias("r")).select("model", *[f"r.{c}" for c in RATES])
-
-    both = remote.select("model", *RATES, F.lit(1).alias("order")).unionByName(custom.select("model", *RATES, F.lit(2).alias("order"))).withColumn("model", price_name(F.col("model")))
-    best = first(both)
+    """Custom prices go over remote ones; an alias (source, target) goes over both if its target has a price. One aggregate decides all three:
+    by kind, then by what an alias' target would have, then the least rates."""
+    both = remote.select("model", *RATES, F.lit(-1).alias("own")).unionByName(custom.select("model", *RATES, F.lit(-2).alias("own"))).withColumn("model", price_name(F.col("model")))
     a = aliases.select(price_name(F.col("source")).alias("source"), price_name(F.col("target")).alias("target")).where("source <> target")
-    named = a.join(best, a.target == best.model).select(F.col("source").alias("model"), *RATES, F.lit(3).alias("order"))
-    return first(best.select("model", *RATES, F.lit(0).alias("order")).unionByName(named))
+    named = a.join(both, a.target == both.model).select(F.col("source").alias("model"), F.lit(-3).alias("kind"), "own", *RATES)
+    rows = both.select("model", F.col("own").alias("kind"), "own", *RATES).unionByName(named)
+    return rows.groupBy("model").agg(F.min(F.struct("kind", "own", *RATES)).alias("r")).select("model", *[f"r.{c}" for c in RATES])
 
 
 def candidates(model: Column) -> Column:
