@@ -296,7 +296,7 @@ _JUDGED = """j AS (SELECT day, hour, provider_id AS source, CASE WHEN event_id%9
 def _gateway(h):
     i = F.col("event_id")
     tokens = [F.when(i % 6 == 0, 0).otherwise(F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens")]
-    return h.select("day", "hour", F.col("provider_id").alias("source"), F.when(i % 9 == 0, "").otherwise(F.upper("model")).alias("model"), *tokens, (F.col("input_tokens") / 1e6).alias("cost"), "status", F.when(i % 10 == 0, "probe").otherwise("chat").alias("kind"))
+    return h.select("day", "hour", F.col("provider_id").alias("source"), F.when(i % 9 == 0, "").otherwise(F.upper("model")).alias("model"), *tokens, (F.col("input_tokens") / 1e6).alias("cost"), "status", F.when(i % 10 == 0, "probe").otherwise("chat").alias("kind"), (i % 6 != 0).alias("counted"))
 
 
 def _named(names):
