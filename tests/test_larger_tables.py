@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from meterlake.operators import gateway_views
+from meterlake.operators import deepfind, gateway_views
 from meterlake.plans.all_queries import ORACLE_SQL, QUERIES
 from tests.test_usage_sql import DATA, rows
 
@@ -35,3 +35,11 @@ def test_tokens_decide_if_nothing_else_does(spark):
 def test_more_people_than_a_state_with_marks_holds(spark, tmp_path):
     data, db = events(tmp_path, "select e.* replace (event_id + 1000*i AS event_id, event_id + 1000*i AS user_id) from e, range(60) r(i)")
     assert rows(QUERIES["pinned_folders"](spark, data).toPandas()) == rows(db.execute(ORACLE_SQL["pinned_folders"]).df())
+
+
+def test_deep_values_are_found_within_rows(spark):
+    texts = ['{"a": {"cwd": "x", "n": 2}, "cwd": "y"}', '{"cwd": "b", "n": [[{"n": 5}]]}', '[[{"n": 1.5}, {"n": 2}]]']
+    df = spark.createDataFrame([(1, t) for t in texts], "key long, j string")
+    found, numbers = deepfind.deep_string(df, "key", "j", ["cwd"]), deepfind.deep_number(df, "key", "j", ["n"])
+    assert sorted(r.text for r in found.collect()) == ["", "b", "x"] and sorted(r.number for r in numbers.collect()) == [0, 2, 4]
+    assert not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in (found, numbers))
