@@ -37,7 +37,7 @@ def ranked(df: DataFrame, key: str, measure: str = "total_tokens", within: list[
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(F.desc(measure), key)).cast("long"))
 
 
-def ranked_apart(df: DataFrame, key: str, measure: str = "total_tokens", ranges: int = 64, out: str = "rank", running: str | None = None) -> DataFrame:
+def ranked_apart(df: DataFrame, key: str | list[str], measure: str = "total_tokens", ranges: int = 64, out: str = "rank", running: str | None = None) -> DataFrame:
     """As :func:`ranked` over all rows, without a window over all rows: rows are dealt into ranges of the measure by its quantiles, numbered in each, and moved
     on by the number of rows in the ranges before; ``running`` names a column for the sum of the measure up to the row. Rows of one value share a range, and so a task.
     The rows are written once, as three passes read them."""
@@ -49,7 +49,7 @@ def ranked_apart(df: DataFrame, key: str, measure: str = "total_tokens", ranges:
     whole = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"), F.sum(measure).alias("s"))  # ``ranges`` rows at most
     before = sizes.select("__range", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("__n"), F.coalesce(F.sum("s").over(whole), F.lit(0)).alias("__s"))
-    order = Window.partitionBy("__range").orderBy(F.desc(measure), key)
+    order = Window.partitionBy("__range").orderBy(F.desc(measure), *([key] if isinstance(key, str) else key))
     placed = dealt.withColumn(out, F.row_number().over(order))
     if running:
         placed = placed.withColumn(running, F.sum(measure).over(order.rowsBetween(Window.unboundedPreceding, 0)))

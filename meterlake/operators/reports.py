@@ -49,8 +49,7 @@ def full_board(usage: DataFrame, people: DataFrame, top_models: int = 10, costed
     board = breakdowns(usage, "participant_id", {"tool_code": None, "workdir_id": None, "model": top_models}).join(people.select("participant_id", "nickname"), "participant_id")
     if costed is not None:
         board = board.join(cost_summary(costed, "participant_id"), "participant_id", "left")
-    order = Window.orderBy(F.desc(TOTAL), "nickname", "participant_id")
-    return board.withColumn("dominant", dominant()).withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked_apart(board.withColumn("dominant", dominant()), ["nickname", "participant_id"])
 
 
 def source_board(usage: DataFrame, people: DataFrame, k: int = 10, top_models: int = 3) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from meterlake.operators import deepfind, gateway_views
+from meterlake.operators import deepfind, gateway_views, reports
+from meterlake.plans import surrogate
 from meterlake.plans.all_queries import ORACLE_SQL, QUERIES
 from tests.test_usage_sql import DATA, rows
 
@@ -43,3 +45,14 @@ def test_deep_values_are_found_within_rows(spark):
     found, numbers = deepfind.deep_string(df, "key", "j", ["cwd"]), deepfind.deep_number(df, "key", "j", ["n"])
     assert sorted(r.text for r in found.collect()) == ["", "b", "x"] and sorted(r.number for r in numbers.collect()) == [0, 2, 4]
     assert not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in (found, numbers))
+
+
+def test_no_task_has_the_whole_board(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        u, p = surrogate.daily_facts(spark, DATA).withColumn("participant_id", F.col("workdir_id")), spark.range(40).select(F.col("id").alias("participant_id"), F.lit("same").alias("nickname"))
+        board = reports.full_board(u, p).select("participant_id", "total_tokens", "rank", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.participant_id for r in sorted(board, key=lambda r: r.rank)] == [r.participant_id for r in sorted(board, key=lambda r: (-r.total_tokens, r.participant_id))]
+    assert len(board) == 40 and len({r.task for r in board}) > 3
